@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairnfield.llm import html, sharding
+from cairnfield.llm import html, langid, lines, sharding
 from cairnfield.llm.common import table
 
 
+def op1_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_quality(table(spark, sf_dir, "documents"))
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=24)
 
@@ -19,8 +27,12 @@ def op10_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_quality": op1_line_quality,
+    "op2_language_id": op2_language_id,
     "op8_sharding": op8_sharding,
     "op10_html_main_text": op10_html_main_text,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_line_quality": lines.LINE_QUALITY_SQL,
+}
