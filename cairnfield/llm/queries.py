@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairnfield.llm import html, langid, lines, sharding
+from cairnfield.llm import html, langid, lines, sharding, tokens, toxicity
 from cairnfield.llm.common import table
 
 
@@ -18,6 +18,16 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokens.write_tokens(table(spark, sf_dir, "documents"), str(public_tokenizers.path("word_bpe_49k.json"))).documents(spark).select("doc_id", "start", "n_tokens", "ids_crc32", "file", "frame")
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=24)
 
@@ -29,6 +39,8 @@ def op10_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_quality": op1_line_quality,
     "op2_language_id": op2_language_id,
+    "op3_token_files": op3_token_files,
+    "op4_toxicity": op4_toxicity,
     "op8_sharding": op8_sharding,
     "op10_html_main_text": op10_html_main_text,
 }
