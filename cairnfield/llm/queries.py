@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairnfield.llm import html, langid, lines, sharding, tokens, toxicity
+from cairnfield.llm import html, langid, lines, sharding, simhash, tokens, toxicity
 from cairnfield.llm.common import table
 
 
@@ -28,6 +28,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.fingerprint_components(table(spark, sf_dir, "documents"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=24)
 
@@ -41,6 +45,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op3_token_files": op3_token_files,
     "op4_toxicity": op4_toxicity,
+    "op6_simhash_components": op6_simhash_components,
     "op8_sharding": op8_sharding,
     "op10_html_main_text": op10_html_main_text,
 }
