@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairnfield.llm import html, langid, lines, sharding, simhash, tokens, toxicity
+from cairnfield.llm import html, langid, lines, ppm, sharding, simhash, tokens, toxicity
 from cairnfield.llm.common import table
 
 
@@ -36,6 +36,10 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=24)
 
 
+def op9_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score_held_out(table(spark, sf_dir, "documents"))
+
+
 def op10_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_main_text(table(spark, sf_dir, "pages"))
 
@@ -47,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": op4_toxicity,
     "op6_simhash_components": op6_simhash_components,
     "op8_sharding": op8_sharding,
+    "op9_ppm_scores": op9_ppm_scores,
     "op10_html_main_text": op10_html_main_text,
 }
 

@@ -16,6 +16,7 @@ ordered by text and all written; an empty table gives no rows.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
@@ -40,38 +41,80 @@ HAS_CHECKSUMS = 0x80
 
 #: Decompressed bytes after which a frame ends with its document.
 FRAME_BYTES = 1 << 16
-#: Words whose ids a worker remembers.
-CACHE_WORDS = 300_000
-_TOKENIZERS: dict[str, tuple[object, dict[bytes, bytes]]] = {}
+#: Words of each of the two generations whose ids a worker remembers.
+CACHE_WORDS = 250_000
+#: Words that go through the library at once.
+ENCODE_WORDS = 2_000
+#: A word that ends in ASCII signs after an ASCII letter; the tokenizer parts the two.
+_SIGNS = re.compile(rb"(.*[A-Za-z])([!-/:-@\[-`{-~]+)", re.DOTALL)
 
 
-def _tokenizer(path: str) -> tuple[object, dict[bytes, bytes]]:
-    if path not in _TOKENIZERS:
+class WordIds:
+    """Ids of words by one tokenizer; frequent words stay, as a word that is used moves to the young generation."""
+
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _TOKENIZERS[path] = (Tokenizer.from_file(path), {})
-    return _TOKENIZERS[path]
-
-
-def encode(texts: list[bytes], path: str, end_id: int) -> list[bytes]:
-    """Ids of each text and end_id, as bytes.
-
-    The tokenizer never joins what white space parts, so a text's ids are those of its words; words
-    not met before go through the library together.
-    """
-    tokenizer, known = _tokenizer(path)
-    split = [text.split() for text in texts]
-    end, out = struct.pack("<I", end_id), []
-    for words in split:
-        new = [w for w in set(words) if w not in known]
-        if new:
-            for word, code in zip(new, tokenizer.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False), strict=True):
-                known[word] = np.array(code.ids, "<u4").tobytes()
-        out.append(b"".join(map(known.__getitem__, words)) + end)
-        if len(known) > CACHE_WORDS:
-            known.clear()
-    return out
+        self._tokenizer = Tokenizer.from_file(path)
+        self._young: dict[bytes, bytes] = {}
+        self._old: dict[bytes, bytes] = {}
+
+    def _learn(self, words: list[bytes]) -> None:
+        for at in range(0, len(words), ENCODE_WORDS):
+            part = words[at : at + ENCODE_WORDS]
+            for word, code in zip(part, self._tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
+                self._young[word] = np.array(code.ids, "<u4").tobytes()
+
+    def _recall(self, words: set[bytes]) -> None:
+        """Brings words into the young generation."""
+        young, old = self._young, self._old
+        new, parted = set(), []
+        for word in words:
+            if word in young:
+                continue
+            if (ids := old.get(word)) is not None:
+                young[word] = ids
+            elif b"<|" not in word and ((m := _SIGNS.fullmatch(word)) or not word.islower()) and (base := (m[1] if m else word)):
+                # letters without their signs and in lower case, which the tokenizer makes of them anyway, are met far more often
+                base = base.lower()
+                sign = m[2] if m else b""
+                if base == word:
+                    new.add(word)
+                    continue
+                parted.append((word, base, sign))
+                for x in (base, sign):
+                    if x and x not in young:
+                        if (ids := old.get(x)) is not None:
+                            young[x] = ids
+                        else:
+                            new.add(x)
+            else:
+                new.add(word)
+        self._learn(list(new))
+        for word, base, sign in parted:
+            young[word] = young[base] + (young[sign] if sign else b"")
+
+    def of(self, text: bytes) -> bytes:
+        """The tokenizer never joins what white space parts, so a text's ids are those of its words."""
+        words = text.split()
+        self._recall(set(words))
+        ids = b"".join(map(self._young.__getitem__, words))
+        if len(self._young) > CACHE_WORDS:
+            self._old, self._young = self._young, {}
+        return ids
+
+
+_KNOWN: dict[str, WordIds] = {}
+
+
+def encode(texts: list[bytes], path: str, end_id: int) -> Iterator[bytes]:
+    """Ids of each whole text and end_id, as bytes."""
+    if path not in _KNOWN:
+        _KNOWN[path] = WordIds(path)
+    end, known = struct.pack("<I", end_id), _KNOWN[path]
+    for text in texts:
+        yield known.of(text) + end
 
 
 class FrameWriter:
