@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairnfield.llm import html, langid, lines, ppm, sharding, simhash, tokens, toxicity
+from cairnfield.llm import html, langid, lines, mixing, ppm, sharding, simhash, tokens, toxicity
 from cairnfield.llm.common import table
 
 
@@ -28,6 +28,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_mixing_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.document_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.fingerprint_components(table(spark, sf_dir, "documents"))
 
@@ -49,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op3_token_files": op3_token_files,
     "op4_toxicity": op4_toxicity,
+    "op5_mixing_rates": op5_mixing_rates,
     "op6_simhash_components": op6_simhash_components,
     "op8_sharding": op8_sharding,
     "op9_ppm_scores": op9_ppm_scores,
