@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairnfield.llm import html, langid, lines, mixing, ppm, sharding, simhash, tokens, toxicity
+from cairnfield.llm import decontaminate, html, langid, lines, mixing, ppm, sharding, simhash, tokens, toxicity
 from cairnfield.llm.common import table
 
 
@@ -36,6 +36,10 @@ def op6_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.fingerprint_components(table(spark, sf_dir, "documents"))
 
 
+def op7_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=24)
 
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": op4_toxicity,
     "op5_mixing_rates": op5_mixing_rates,
     "op6_simhash_components": op6_simhash_components,
+    "op7_benchmark_leaks": op7_benchmark_leaks,
     "op8_sharding": op8_sharding,
     "op9_ppm_scores": op9_ppm_scores,
     "op10_html_main_text": op10_html_main_text,
