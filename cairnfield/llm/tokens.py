@@ -18,6 +18,7 @@ from __future__ import annotations
 import os
 import re
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -42,11 +43,14 @@ HAS_CHECKSUMS = 0x80
 #: Decompressed bytes after which a frame ends with its document.
 FRAME_BYTES = 1 << 16
 #: Words of each of the two generations whose ids a worker remembers.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 400_000
 #: Words that go through the library at once.
 ENCODE_WORDS = 2_000
 #: A word that ends in ASCII signs after an ASCII letter; the tokenizer parts the two.
 _SIGNS = re.compile(rb"(.*[A-Za-z])([!-/:-@\[-`{-~]+)", re.DOTALL)
+#: Signs that byte-level tokenizers write for bytes, by the public rule: printable ones stand for themselves, the others follow from 256 on.
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTE_SIGNS = {b: b if b in _PRINTABLE else 256 + i for i, b in enumerate(sorted(range(256), key=lambda b: (b in _PRINTABLE, b)))}
 
 
 class WordIds:
@@ -57,12 +61,30 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
+        # words of letters can go to the model at once where the steps before it do what _letters does
+        probe = ["thing", "ÉÈãß", "Ünïcôde"]
+        self._plain = all([t.id for t in self._tokenizer.model.tokenize(self._letters(w.encode()) or "")] == self._tokenizer.encode(w, add_special_tokens=False).ids for w in probe)
         self._young: dict[bytes, bytes] = {}
         self._old: dict[bytes, bytes] = {}
 
+    def _letters(self, word: bytes) -> str | None:
+        """What the tokenizer's normaliser and splitter make of a word of Latin letters alone: lower case, a sign for each byte."""
+        if word.isalpha():  # ASCII
+            return word.lower().decode()
+        text = word.decode("utf-8", "replace")
+        if text.isalpha() and max(text) < "\u0250" and unicodedata.is_normalized("NFC", text) and (low := text.lower()).isalpha():
+            return low.encode().decode("latin-1").translate(_BYTE_SIGNS)
+        return None
+
     def _learn(self, words: list[bytes]) -> None:
-        for at in range(0, len(words), ENCODE_WORDS):
-            part = words[at : at + ENCODE_WORDS]
+        whole, tokenize = [], self._tokenizer.model.tokenize
+        for word in words:
+            if self._plain and (letters := self._letters(word)):
+                self._young[word] = np.array([t.id for t in tokenize(letters)], "<u4").tobytes()
+            else:
+                whole.append(word)
+        for at in range(0, len(whole), ENCODE_WORDS):
+            part = whole[at : at + ENCODE_WORDS]
             for word, code in zip(part, self._tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
                 self._young[word] = np.array(code.ids, "<u4").tobytes()
 
