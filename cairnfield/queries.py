@@ -229,7 +229,7 @@ def _coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.range(1).select(F.round(F.lit(share), 9).alias("coverage"))
 
 
-_register("coverage", _coverage, "SELECT round((least(90, max(user_id)) - greatest(20, min(user_id))) * (least(200, max(value)) - greatest(50, min(value))) / ((max(user_id) - min(user_id)) * (max(value) - min(value))), 9) AS coverage FROM events")
+_register("coverage", _coverage, "SELECT round(greatest(0, least(90, max(user_id)) - greatest(20, min(user_id))) * greatest(0, least(200, max(value)) - greatest(50, min(value))) / ((max(user_id) - min(user_id)) * (max(value) - min(value))), 9) AS coverage FROM events")
 
 
 def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
