@@ -1,7 +1,8 @@
 """Mixing to target weights by soft domain membership, in DataFrame operations only.
 
-A naive Bayes classifier over hashed words, learned from a labelled table, gives every document
-posteriors over domains. Document d has a nonnegative rate r(d), the expected number of its copies; the
+A naive Bayes classifier over the hashed distinct words of a document, learned from a labelled table,
+gives each document evidence for domains; only words that clearly tell domains apart count. A softmax
+regression on that evidence, fitted on labelled rows that the word counts did not see, gives posteriors. Document d has a nonnegative rate r(d), the expected number of its copies; the
 expected tokens of domain k are the sum of r(d) tokens(d) p(k | d). Projected gradient steps on the
 squared distance from the targets fit the rates: each step is one aggregation over all documents, whose
 K sums and K x K moments (K domains) go to the driver, and a new expression of the rates. The gradient
@@ -10,7 +11,7 @@ is taken in the metric of the moments of the documents that are free to move, so
 Training rows: at most about `per_domain` of each domain, chosen by a hash of the id; the model has
 `BUCKETS` rows. Everything else covers all documents.
 
-Defined results: a null text has no tokens and the prior's posteriors; rows with equal ids are fitted
+Defined results: a null text has no tokens and the posteriors of texts without evidence; rows with equal ids are fitted
 each; null labels are left out; a domain without documents cannot be matched, and the rates are then
 those of least distance; without labels there is one domain, `all`; an empty table gives no rows.
 """
@@ -26,9 +27,9 @@ from pyspark.sql import functions as F
 
 from cairnfield.llm.common import WORD_SPLIT, cut
 
-BUCKETS = 1 << 14
-#: Words after which a text's evidence does not grow: neighbouring words are not independent.
-EVIDENCE = 40.0
+BUCKETS = 1 << 17
+#: Documents by which a word's counts are drawn to what is expected, and the least logarithm of a ratio that tells.
+SHRINK, TELLING = 5.0, 0.7
 #: Rate expressions are written out after so many steps.
 STEPS_PER_CUT = 6
 
@@ -37,16 +38,23 @@ STEPS_PER_CUT = 6
 class DomainModel:
     domains: tuple[str, ...]
     priors: tuple[float, ...]
-    #: bucket and l0, l1, ...: log-likelihood of a word of the bucket in each domain
+    #: bucket and l0, l1, ...: how much likelier a word of the bucket is in each domain, by logarithm; telling buckets only
     words: DataFrame | None
+    #: softmax factors: a row a domain, for the evidence and one
+    factors: np.ndarray | None = None
 
 
 def _bucket(word: Column) -> Column:
     return F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int")
 
 
-def _words(text: Column) -> Column:
-    return F.explode_outer(F.split(F.lower(F.coalesce(text, F.lit(""))), WORD_SPLIT))
+def _split(text: Column) -> Column:
+    return F.split(F.lower(F.coalesce(text, F.lit(""))), WORD_SPLIT)
+
+
+def _number(parts: Column) -> Column:
+    """Words among the parts; only the first and the last can be empty."""
+    return F.size(parts) - (F.element_at(parts, 1) == "").cast("int") - ((F.size(parts) > 1) & (F.element_at(parts, -1) == "")).cast("int")
 
 
 def fit_domains(docs: DataFrame, labelled: DataFrame, per_domain: int = 4000, max_domains: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DomainModel:
@@ -62,34 +70,76 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, per_domain: int = 4000, ma
         wanted = wanted | ((F.col("domain") == d) & (draw < int((1 << 30) * min(1.0, per_domain / sizes[d]))))
     chosen = known.where(wanted).limit(2 * per_domain * len(domains))
     sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body")).join(F.broadcast(chosen), "id")  # bounded by the sample
-    counts = sample.select("domain", _words("body").alias("word")).where("word <> ''").groupBy("domain", _bucket(F.col("word")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
-    wide = cut(counts.groupBy("bucket").agg(*(F.coalesce(F.sum(F.when(F.col("domain") == d, F.col("n"))), F.lit(0)).alias(f"n{k}") for k, d in enumerate(domains))), "domain-words")
-    totals = wide.agg(*(F.coalesce(F.sum(f"n{k}"), F.lit(0)).alias(f"n{k}") for k in range(len(domains)))).first()
-    # a half for every bucket, also those that the sample does not show
-    words = wide.select("bucket", *(F.log((F.col(f"n{k}") + 0.5) / (totals[k] + 0.5 * BUCKETS)).alias(f"l{k}") for k in range(len(domains))))
-    rest = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(F.broadcast(words), "bucket", "left")
-    full = rest.select("bucket", *(F.coalesce(f"l{k}", F.lit(math.log(0.5 / (totals[k] + 0.5 * BUCKETS)))).alias(f"l{k}") for k in range(len(domains))))
+    half = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit("half")), F.lit(2))
+    words = sample.where(half == 0).select("domain", F.explode(F.array_distinct(_split(F.col("body")))).alias("word")).where("word <> ''")
+    counts = words.groupBy("domain", _bucket(F.col("word")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    wide = counts.groupBy("bucket").agg(*(F.coalesce(F.sum(F.when(F.col("domain") == d, F.col("n"))), F.lit(0)).alias(f"n{k}") for k, d in enumerate(domains)))
+    drawn = {r["domain"]: r["n"] for r in chosen.where(half == 0).groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}
     whole = sum(sizes.values())
-    return DomainModel(domains, tuple(sizes[d] / whole for d in domains), cut(full, "domain-model"))
+    rate = sum((F.col(f"n{k}") * (sizes[d] / whole / max(1, drawn.get(d, 0))) for k, d in enumerate(domains)), F.lit(0.0))
+    ratios = [F.log((F.col(f"n{k}") + SHRINK) / (F.col("rate") * drawn.get(d, 0) + SHRINK)) for k, d in enumerate(domains)]
+    telling = wide.withColumn("rate", rate).select("bucket", *(F.when(F.abs(r) >= TELLING, r).otherwise(0.0).alias(f"l{k}") for k, r in enumerate(ratios)))
+    some = sum((F.abs(F.col(f"l{k}")) for k in range(1, len(domains))), F.abs(F.col("l0"))) > 0
+    telling = cut(telling.where(some), "domain-model")
+    seen = _evidence(sample.where(half == 1).select(F.monotonically_increasing_id().alias("row_id"), "domain", _split(F.col("body")).alias("parts")), telling, len(domains)).collect()  # of the bounded sample
+    x = np.array([[r[f"f{i}"] for i in range(2 * len(domains))] + [1.0] for r in seen]).reshape(-1, 2 * len(domains) + 1)
+    y = np.array([domains.index(r["domain"]) for r in seen], int)
+    share = np.array([sizes[d] / whole for d in domains])
+    present = np.bincount(y, minlength=len(domains)) / max(1, len(y))
+    factors = _softmax(x, y, len(domains))
+    factors[:, -1] += np.log(np.maximum(share, 1e-9) / np.maximum(present, 1e-9))  # domains were drawn at different rates
+    return DomainModel(domains, tuple(share.tolist()), telling, factors)
+
+
+def _softmax(x: np.ndarray, y: np.ndarray, k: int, ridge: float = 1.0, rounds: int = 60) -> np.ndarray:
+    """Multinomial regression with a ridge, by Newton steps on all factors but the first domain's."""
+    n, m = x.shape
+    w = np.zeros((k, m))
+    pull = np.full(m, ridge)
+    pull[-1] = 1e-3
+    hot = np.eye(k)[y] if n else np.zeros((0, k))
+    for _ in range(rounds):
+        z = x @ w.T
+        p = np.exp(z - z.max(1, keepdims=True)) if n else np.zeros((0, k))
+        p /= np.maximum(p.sum(1, keepdims=True), 1e-300)
+        slope = ((p - hot).T @ x + pull * w)[1:].ravel()
+        size = (k - 1) * m
+        curve = np.zeros((size, size))
+        for i in range(1, k):
+            for j in range(1, k):
+                weight = p[:, i] * ((i == j) - p[:, j])
+                curve[(i - 1) * m : i * m, (j - 1) * m : j * m] = (x * weight[:, None]).T @ x
+        step = np.linalg.solve(curve + np.diag(np.tile(pull, k - 1)), slope)
+        w[1:] -= step.reshape(k - 1, m)
+        if np.abs(step).max() < 1e-7:
+            break
+    return w
+
+
+def _evidence(parts: DataFrame, words: DataFrame, k: int) -> DataFrame:
+    """For every row of parts (its other columns are keys): of each domain the sum of what speaks for it, by logarithm, and the mean of all evidence."""
+    keys = [c for c in parts.columns if c != "parts"]
+    met = parts.select(*keys, F.explode(F.array_distinct("parts")).alias("word")).withColumn("bucket", _bucket(F.col("word")))
+    met = met.join(F.broadcast(words), "bucket", "left")  # at most BUCKETS rows
+    sums = met.groupBy(*keys).agg(F.count("l0").alias("n"), *(F.coalesce(F.sum(F.greatest(F.col(f"l{i}"), F.lit(0.0))), F.lit(0.0)).alias(f"u{i}") for i in range(k)), *(F.coalesce(F.sum(f"l{i}"), F.lit(0.0)).alias(f"s{i}") for i in range(k)))
+    return sums.select(*keys, *(F.log1p(f"u{i}").alias(f"f{i}") for i in range(k)), *((F.col(f"s{i}") / (1 + F.col("n"))).alias(f"f{k + i}") for i in range(k)))
 
 
 def posteriors(docs: DataFrame, model: DomainModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """row_id, doc_id, text_hash, n_tokens and p0, p1, ... of every row of docs."""
     k = range(len(model.domains))
-    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("body"))
-    words = rows.select("row_id", "doc_id", "text_hash", _words("body").alias("word"))
-    real = F.col("word") != ""
+    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), _split(F.col(text_col)).alias("parts"))
+    parts = rows.select("row_id", "doc_id", "text_hash", _number(F.col("parts")).cast("long").alias("n_tokens"), "parts")
     if model.words is None:
-        one = words.groupBy("row_id", "doc_id", "text_hash").agg(F.count(F.when(real, 1)).alias("n_tokens"))
-        return cut(one.withColumn("p0", F.lit(1.0)), "posteriors")
-    met = words.withColumn("bucket", F.when(real, _bucket(F.col("word"))).otherwise(F.lit(-1))).join(F.broadcast(model.words), "bucket", "left")
-    sums = met.groupBy("row_id", "doc_id", "text_hash").agg(F.count(F.when(real, 1)).alias("n_tokens"), *(F.coalesce(F.sum(f"l{i}"), F.lit(0.0)).alias(f"s{i}") for i in k))
-    weight = F.least(F.lit(1.0), EVIDENCE / F.greatest(F.col("n_tokens"), F.lit(1)))
-    logits = sums.select("row_id", "doc_id", "text_hash", "n_tokens", *((F.lit(math.log(model.priors[i])) + weight * F.col(f"s{i}")).alias(f"s{i}") for i in k))
+        return cut(parts.drop("parts").withColumn("p0", F.lit(1.0)), "posteriors")
+    keys = ("row_id", "doc_id", "text_hash", "n_tokens")
+    evidence = _evidence(parts, model.words, len(model.domains))
+    factors = model.factors.tolist()
+    logits = evidence.select(*keys, *(sum((F.col(f"f{j}") * w for j, w in enumerate(factors[i][:-1])), F.lit(factors[i][-1])).alias(f"s{i}") for i in k))
     top = F.greatest(*(F.col(f"s{i}") for i in k))
-    scaled = logits.select("row_id", "doc_id", "text_hash", "n_tokens", *(F.exp(F.col(f"s{i}") - top).alias(f"e{i}") for i in k))
+    scaled = logits.select(*keys, *(F.exp(F.col(f"s{i}") - top).alias(f"e{i}") for i in k))
     total = sum((F.col(f"e{i}") for i in k[1:]), F.col("e0"))
-    return cut(scaled.select("row_id", "doc_id", "text_hash", "n_tokens", *((F.col(f"e{i}") / total).alias(f"p{i}") for i in k)), "posteriors")
+    return cut(scaled.select(*keys, *((F.col(f"e{i}") / total).alias(f"p{i}") for i in k)), "posteriors")
 
 
 def fit_rates(members: DataFrame, targets: list[float], start: float, steps: int = 60, tolerance: float = 1e-6) -> DataFrame:
@@ -146,7 +196,7 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], id_col:
 
 
 #: Domains of the labelled table and their weights.
-WEIGHTS = {"good": 0.94, "low": 0.05, "toxic": 0.01}
+WEIGHTS = {"good": 0.9, "low": 0.06, "toxic": 0.04}
 
 
 def label_domains(labels: DataFrame) -> DataFrame:
