@@ -349,7 +349,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, settings: Settings | No
                 kept = batch.filter(pa.array(clean))
                 yield pa.RecordBatch.from_arrays(kept.columns[: len(columns)], names=columns)
 
-        left = left.select(*columns, as_bytes(F.col(text_col)).alias("_body")).mapInArrow(run, schema)
+        left = left.select(*columns, as_bytes(F.col(text_col)).alias("__cf_body")).mapInArrow(run, schema)
     return left
 
 

@@ -145,9 +145,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return CentroidModel(tuple(languages[k] for k in present), idf, centroids, owner, floors)
 
 
-def predict(docs: DataFrame, model: CentroidModel, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
-    """The columns of keep, then lang_pred, score, cosine and rejected, for every row."""
-    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("cosine", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
+def predict(docs: DataFrame, model: CentroidModel, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", prefix: str = "") -> DataFrame:
+    """The columns of keep, then lang_pred, score, cosine and rejected (their names after prefix), for every row."""
+    kinds = {"lang_pred": T.StringType(), "score": T.DoubleType(), "cosine": T.DoubleType(), "rejected": T.BooleanType()}
+    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(prefix + n, kind) for n, kind in kinds.items()])
     shared = docs.sparkSession.sparkContext.broadcast(model)  # languages x clusters x 2**BITS floats, whatever the data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,7 +156,7 @@ def predict(docs: DataFrame, model: CentroidModel, keep: tuple[str, ...] = ("doc
             langs, scores, cosines, rejected = shared.value.predict(batch.column(len(keep)).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(cosines, pa.float64()), pa.array(rejected, pa.bool_())], names=schema.names)
 
-    return docs.select(*keep, as_bytes(F.col(text_col)).alias("_body")).mapInArrow(run, schema)
+    return docs.select(*keep, as_bytes(F.col(text_col)).alias("__cf_body")).mapInArrow(run, schema)
 
 
 def held_out(docs: DataFrame, id_col: str = "doc_id"):
@@ -172,4 +173,4 @@ def keep_identified(docs: DataFrame) -> DataFrame:
     """The rows of docs, all columns, whose language is recognised."""
     model = fit(docs.where(~held_out(docs)))
     columns = tuple(docs.columns)
-    return predict(docs, model, columns).where(~F.col("rejected")).select(*columns)
+    return predict(docs, model, columns, prefix="__cf_").where("not __cf_rejected").select(*columns)

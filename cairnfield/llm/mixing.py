@@ -215,6 +215,6 @@ def mixed_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs, all columns, each as often as its copies say; rows with equal ids and texts follow the first of them."""
     rated, _ = mix(docs, label_domains(labels), WEIGHTS)
     often = rated.groupBy("doc_id", "text_hash").agg(F.max("rate").alias("rate"))
-    often = often.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h"), copies(F.col("rate"), F.col("doc_id"), F.col("text_hash")).alias("_copies")).where("_copies > 0")
-    found = docs.withColumn("_own", F.xxhash64("text")).join(often, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_h")))
-    return found.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    often = often.select(F.col("doc_id").alias("__cf_id"), F.col("text_hash").alias("__cf_hash"), copies(F.col("rate"), F.col("doc_id"), F.col("text_hash")).alias("__cf_copies")).where("__cf_copies > 0")
+    found = docs.withColumn("__cf_own", F.xxhash64("text")).join(often, F.col("doc_id").eqNullSafe(F.col("__cf_id")) & (F.col("__cf_own") == F.col("__cf_hash")))
+    return found.withColumn("__cf_k", F.explode(F.sequence(F.lit(1), F.col("__cf_copies")))).select(*docs.columns)

@@ -213,7 +213,8 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Rows without an id stay. Of rows with equal ids and equal texts one stays.
     """
-    gone = near_duplicates(docs, id_col=id_col, text_col=text_col).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
-    again = Window.partitionBy(id_col, "_h").orderBy("_h")
-    return left.withColumn("_h", F.xxhash64(text_col)).withColumn("_n", F.when(F.col(id_col).isNull(), 1).otherwise(F.row_number().over(again))).where("_n = 1").drop("_h", "_n")
+    gone = near_duplicates(docs, id_col=id_col, text_col=text_col).where("doc_id <> component_id").select(F.col("doc_id").alias("__cf_gone")).distinct()
+    left = docs.join(gone, docs[id_col] == gone["__cf_gone"], "left_anti")
+    again = Window.partitionBy(id_col, "__cf_hash").orderBy("__cf_hash")
+    numbered = left.withColumn("__cf_hash", F.xxhash64(text_col)).withColumn("__cf_n", F.when(F.col(id_col).isNull(), 1).otherwise(F.row_number().over(again)))
+    return numbered.where("__cf_n = 1").drop("__cf_hash", "__cf_n")
