@@ -38,6 +38,8 @@ LOOKALIKES = {
 _MAP = {ord(sign): letter for letter, signs in LOOKALIKES.items() for sign in signs}
 _ASCII = bytes(_MAP[b].encode()[0] if b in _MAP else b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 else 32 for b in range(128)) + bytes(range(128, 256))
 _PREFIXES = range(3, 10)
+#: Beginnings under this length have to be as telling as the words they begin.
+SHORT = 5
 
 
 class _Folded(dict):
@@ -147,6 +149,13 @@ def _select(rows: list, toxic: int, clean: int, min_docs: int, min_weight: float
             if scored[a][1] < 1.1 * scored[term][1]:
                 out.pop(a)
         out[term] = scored[term][0]
+    # a short beginning that is much weaker than a word it begins only stands in for that word
+    best: dict[str, float] = {}
+    for term, (weight, _) in scored.items():
+        for n in _PREFIXES:
+            if n < len(term):
+                best[term[:n]] = max(best.get(term[:n], 0.0), weight)
+    out = {t: w for t, w in out.items() if len(t) >= SHORT or best.get(t, 0.0) <= w + 1}
     return dict(sorted(out.items(), key=lambda kv: (-kv[1], kv[0]))[:most])
 
 
