@@ -67,4 +67,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_line_quality": lines.LINE_QUALITY_SQL,
+    "op8_sharding": sharding.SHARDING_SQL,
 }

@@ -147,3 +147,23 @@ def shard_documents(docs: DataFrame, shards: int = 24, slots: int = VIRTUAL_SLOT
         .join(F.broadcast(grown), "virtual_slot")
         .select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard", "virtual_slot", F.lit(first.version).alias("map_version"), "slot_bytes")
     )
+
+
+#: DuckDB: the same rows. The checksum is worked out a byte at a time from its table of 256 remainders; slots of version 2 that moved are the last of each shard.
+SHARDING_SQL = """
+WITH RECURSIVE poly AS (SELECT b, 0 AS k, b::BIGINT AS v FROM range(256) t(b) UNION ALL SELECT b, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM poly WHERE k < 8),
+tab AS (SELECT list(v ORDER BY b) AS t FROM poly WHERE k = 8),
+d AS (SELECT doc_id, coalesce(text, '') AS body, hex(encode(coalesce(text, ''))) AS h, (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT % 8192)::INTEGER AS virtual_slot FROM documents),
+r AS (
+  SELECT doc_id, virtual_slot, octet_length(encode(body)) + 8 AS size,
+         xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(h, '..'), lambda p: ('0x' || p)::BIGINT)), lambda s, x: xor(s >> 8, t[(xor(s, x) & 255) + 1])), 4294967295) AS text_crc32
+  FROM d, tab),
+held AS (SELECT v, v % 24 AS shard, row_number() OVER (PARTITION BY v % 24 ORDER BY v DESC) AS from_end, count(*) OVER (PARTITION BY v % 24) AS n FROM range(8192) s(v)),
+-- the largest shards give first, the lowest of equals first, until the new one has 8192 // 25 slots
+given AS (SELECT v, row_number() OVER (ORDER BY n - from_end DESC, shard) AS turn FROM held),
+sums AS (SELECT virtual_slot, sum(size)::BIGINT AS slot_bytes FROM r GROUP BY virtual_slot)
+SELECT doc_id, size::BIGINT AS size, text_crc32, 'key' AS law, (virtual_slot % 24)::INTEGER AS shard,
+       row_number() OVER (PARTITION BY virtual_slot % 24 ORDER BY virtual_slot, doc_id NULLS FIRST, text_crc32, size) - 1 AS slot,
+       CASE WHEN turn <= 8192 // 25 THEN 24 ELSE virtual_slot % 24 END::INTEGER AS grown_shard, virtual_slot, 1 AS map_version, slot_bytes
+FROM r JOIN given ON v = virtual_slot JOIN sums USING (virtual_slot)
+"""
