@@ -8,11 +8,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 
 from cairnfield.errors import Code, EngineError
 from cairnfield.operators import relations, spatial
 from cairnfield.plans.query import FID, Query, build, checked, geometry_columns, metrics
-from cairnfield.sources import filegdb
+from cairnfield.sources import filegdb, metadata
 
 MAX_URI_BYTES = 8192
 
@@ -37,6 +38,21 @@ def parse_uri(uri: str) -> str:
     return uri.removeprefix("file://").rstrip("/") or "/"
 
 
+@dataclass(frozen=True)
+class Route:
+    """Where an address goes. There is one engine; object stores are read through Spark's file systems."""
+
+    uri: str
+    source: str
+    engine: str = "spark"
+    fallback: bool = False
+
+
+def route(uri: str) -> Route:
+    parsed = parse_uri(uri)
+    return Route(parsed, "object store" if parsed.startswith("s3a://") else "directory")
+
+
 def canonical(path: str) -> str:
     return "/" + "/".join(p for p in path.replace("\\", "/").split("/") if p)
 
@@ -200,6 +216,44 @@ class Dataset:
         rest = [p[len(prefix) :].split("/") for p in below]
         return Group(at, sorted(r[0] for r in rest if len(r) == 1), sorted({r[0] for r in rest if len(r) > 1}))
 
+    def system_table(self, name: str) -> DataFrame | None:
+        """A system table (`GDB_Items` and its like) with columns in lower case, None where there is none."""
+        if self._database is None or not any(n.lower() == name.lower() for n in self._database.names):
+            return None
+        df = filegdb.read_layer(self.spark, self._database.path, name)
+        return df.toDF(*(c.lower() for c in df.columns))
+
+    def items(self) -> DataFrame:
+        """Items with the names that the metadata functions use."""
+        df = self.system_table("GDB_Items")
+        if df is None:
+            raise EngineError(Code.NOT_FOUND, "GDB_Items")
+        renamed = {"physicalname": "physical_name"}
+        return df.select(*(F.col(c).alias(renamed.get(c, c)) for c in df.columns))
+
+    def metadata(self) -> dict[str, DataFrame]:
+        """Domains, subtypes, field bindings, relationship classes and groups, all of one state of the files: a change meanwhile is an error."""
+        self.check_unchanged()
+        items = self.items()
+        found = {
+            "domains": metadata.domains(items),
+            "subtypes": metadata.subtypes(items),
+            "field_bindings": metadata.field_bindings(items),
+            "relationship_classes": metadata.relationship_attributes(items),
+            "groups": metadata.groups(items.where("path is not null")),
+        }
+        self.check_unchanged()
+        return found
+
+    def files(self) -> DataFrame:
+        """table_id, ext, name, size of the directory's files."""
+        entries = self._database.files if self._database else []
+        return self.spark.createDataFrame([(e.table_id, e.ext, e.name, e.size) for e in entries], "table_id long, ext string, name string, size long")
+
+    def audit(self) -> DataFrame | None:
+        """Status, rows and digest of the system tables."""
+        return relations.audit({n: self.system_table(n) for n in ("GDB_Items", "GDB_ItemRelationships", "GDB_ItemRelationshipTypes", "GDB_ItemTypes", "GDB_SpatialRefs")})
+
     def register_views(self) -> list[str]:
         """A temporary view of each layer, for SQL."""
         for path, (df, _) in self._layers.items():

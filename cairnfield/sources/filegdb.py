@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from cairnfield.errors import Code, EngineError
-from cairnfield.operators.geometry import GEOM, NULL, VALID, BlobError, Geometry, Grid, Reader, decode_blob, to_wkb
+from cairnfield.operators.geometry import GEOM, NULL, VALID, BlobError, Geometry, Grid, Reader, decode_blob, peek_envelope, to_wkb
 
 # Numbers of the field types.
 INT16, INT32, FLOAT32, FLOAT64, STRING, DATETIME, OBJECTID, GEOMETRY, BINARY, RASTER, UUID_1, UUID_2, XML, INT64, DATE, TIME, DATETIME_OFFSET = range(17)
@@ -123,37 +123,58 @@ class TableFile:
     def geometry(self) -> Field | None:
         return next((f for f in self.fields if f.kind == GEOMETRY), None)
 
-    def offsets(self) -> list[int]:
-        """Place of each feature id's row, 0 where there is none."""
+    def offsets(self, start: int = 0, stop: int | None = None) -> list[int]:
+        """Places of the rows of feature ids from start to stop, 0 where there is none; only that part of the file is read."""
         path = self.path[: -len("table")] + "tablx"
         try:
             with open(path, "rb") as source:
-                data = source.read()
-            version, blocks, rows, width = struct.unpack_from("<IIII", data)
+                blocks, rows, width, kept = self._index_head(source)
+                n = rows or (len(kept) if kept is not None else blocks) * BLOCK_ROWS
+                stop = n if stop is None else min(stop, n)
+                out: list[int] = []
+                while start + len(out) < stop:
+                    at = start + len(out)
+                    block, inside = divmod(at, BLOCK_ROWS)
+                    take = min(stop - at, BLOCK_ROWS - inside)
+                    place = block if kept is None else kept[block]
+                    if place < 0:
+                        out += [0] * take
+                        continue
+                    source.seek(16 + (place * BLOCK_ROWS + inside) * width)
+                    data = source.read(take * width)
+                    if len(data) < take * width:
+                        raise EngineError(Code.CORRUPT, f"{path}: truncated")
+                    out += [int.from_bytes(data[k : k + width], "little") for k in range(0, len(data), width)]
+                return out
         except (OSError, struct.error) as error:
             raise EngineError(Code.READ_FAILED, f"{path}: {error}") from error
+
+    def __len__(self) -> int:
+        """Feature ids, deleted ones included."""
+        with open(self.path[: -len("table")] + "tablx", "rb") as source:
+            blocks, rows, _, kept = self._index_head(source)
+        return rows or (len(kept) if kept is not None else blocks) * BLOCK_ROWS
+
+    @staticmethod
+    def _index_head(source) -> tuple[int, int, int, list[int] | None]:
+        """Blocks in the file, rows (0: not said), bytes of an offset, and for sparse files the place of each block, -1 if left out."""
+        head = source.read(16)
+        version, blocks, rows, width = struct.unpack("<IIII", head)
         if version not in (3, 4) or width not in (4, 5, 6):
-            raise EngineError(Code.CORRUPT, f"{path}: unknown version or width")
+            raise EngineError(Code.CORRUPT, "offset file of unknown version or width")
         if version == 4:  # 64-bit number of blocks, no number of rows here
-            blocks, rows = struct.unpack_from("<Q", data, 4)[0], 0
-        if 16 + blocks * BLOCK_ROWS * width > len(data):
-            raise EngineError(Code.CORRUPT, f"{path}: truncated")
-        held = [int.from_bytes(data[at : at + width], "little") for at in range(16, 16 + blocks * BLOCK_ROWS * width, width)]
-        if version == 3:
-            tail = 16 + blocks * BLOCK_ROWS * width
-            words, bits = struct.unpack_from("<II", data, tail) if tail + 16 <= len(data) else (0, 0)
-            if words:  # only blocks with a bit are in the file
-                spread: list[int] = []
-                at = 0
-                for b in range(bits):
-                    if data[tail + 16 + b // 8] >> b % 8 & 1:
-                        spread += held[at * BLOCK_ROWS : (at + 1) * BLOCK_ROWS]
-                        at += 1
-                    else:
-                        spread += [0] * BLOCK_ROWS
-                held = spread
-            return held[:rows] if rows else held
-        return held
+            return struct.unpack_from("<Q", head, 4)[0], 0, width, None
+        source.seek(16 + blocks * BLOCK_ROWS * width)
+        tail = source.read(16)
+        words, bits = struct.unpack_from("<II", tail) if len(tail) == 16 else (0, 0)
+        if not words:
+            return blocks, rows, width, None
+        bitmap, kept, place = source.read((bits + 7) // 8), [], 0
+        for b in range(bits):
+            present = b // 8 < len(bitmap) and bitmap[b // 8] >> b % 8 & 1
+            kept.append(place if present else -1)
+            place += bool(present)
+        return blocks, rows, width, kept
 
     def row_bytes(self, source, offset: int, most: int = 1 << 30) -> bytes:
         source.seek(offset)
@@ -200,13 +221,16 @@ class TableFile:
             return None
         return data.decode("utf-8", "replace") if f.kind in (STRING, XML) else data
 
-    def rows(self, start: int = 0, stop: int | None = None, wanted: set[str] | None = None, offsets: list[int] | None = None) -> Iterator[tuple[int, dict[str, object]]]:
+    def rows(self, start: int = 0, stop: int | None = None, wanted: set[str] | None = None) -> Iterator[tuple[int, dict[str, object]]]:
         """(feature id, values) in feature-id order, deleted ids left out."""
-        places = self.offsets() if offsets is None else offsets
+        for fid, data in self.raw_rows(start, stop):
+            yield fid, self.decode(fid, data, wanted)
+
+    def raw_rows(self, start: int = 0, stop: int | None = None) -> Iterator[tuple[int, bytes]]:
         with open(self.path, "rb") as source:
-            for fid in range(start, len(places) if stop is None else min(stop, len(places))):
-                if places[fid]:
-                    yield fid, self.decode(fid, self.row_bytes(source, places[fid]), wanted)
+            for fid, place in enumerate(self.offsets(start, stop), start):
+                if place:
+                    yield fid, self.row_bytes(source, place)
 
 
 @dataclass(frozen=True)
@@ -280,15 +304,15 @@ GBOX = T.StructType([T.StructField(n, T.DoubleType()) for n in ("xmin", "ymin",
 GPARTS = T.ArrayType(T.ArrayType(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])))
 
 
-def schema_of(table: TableFile, fields: list[str] | None = None) -> T.StructType:
-    """fid, objectid, the attributes (dates as OLE numbers), and the geometry if there is one."""
+def schema_of(table: TableFile, fields: list[str] | None = None, raw: bool = False) -> T.StructType:
+    """fid, objectid, the attributes (dates as OLE numbers), the geometry if there is one, and with raw the bytes of the row."""
     out = [T.StructField("fid", T.LongType(), False), T.StructField("objectid", T.LongType(), False)]
     for f in table.fields:
         if f.kind in _SPARK_TYPES and (fields is None or f.name in fields):
             out.append(T.StructField(f.name, _SPARK_TYPES[f.kind], f.nullable, {"alias": f.alias, "width": f.width, "physical_type": f.kind}))
     if table.geometry:
         out += [T.StructField("geom", GEOM), T.StructField("gbox", GBOX), T.StructField("gparts", GPARTS), T.StructField("gkind", T.StringType())]
-    return T.StructType(out)
+    return T.StructType([*out, T.StructField("raw_row", T.BinaryType())] if raw else out)
 
 
 def geometry_row(blob: object, grid: Grid, is_null: bool, on_invalid: str) -> tuple:
@@ -301,7 +325,8 @@ def geometry_row(blob: object, grid: Grid, is_null: bool, on_invalid: str) -> tu
     wkb = to_wkb(g, grid)
     code = struct.unpack_from("<I", wkb, 1)[0] if wkb else None
     parts = [[dict(zip("xy", grid.real(v), strict=True)) for v in part] for part in g.parts] or None
-    box = None
+    # what cannot be decoded still meets a box that holds its whole envelope
+    box = peek_envelope(blob, grid) if g.status not in (VALID, "empty") else None  # type: ignore[arg-type]
     if parts:
         xs, ys = [p["x"] for part in parts for p in part], [p["y"] for part in parts for p in part]
         box = (min(xs), min(ys), max(xs), max(ys))
@@ -323,22 +348,23 @@ class _Reader(DataSourceReader):
         self._path, self._layer, self._schema, self._rows, self._on_invalid = path, layer, schema, rows_per_task, on_invalid
 
     def partitions(self) -> list[InputPartition]:
-        n = len(Geodatabase(self._path).open(self._layer).offsets())
+        n = len(Geodatabase(self._path).open(self._layer))
         return [_Range(at, min(n, at + self._rows)) for at in range(0, n, self._rows)] or [_Range(0, 0)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         table = Geodatabase(self._path).open(self._layer)
         names, shape = self._schema.names, table.geometry
         wanted = set(names) | ({shape.name} if shape and "geom" in names else set())
-        for fid, row in table.rows(partition.start, partition.stop, wanted):  # type: ignore[attr-defined]
-            values: dict[str, object] = {**row, "fid": fid, "objectid": fid + 1}
+        for fid, data in table.raw_rows(partition.start, partition.stop):  # type: ignore[attr-defined]
+            row = table.decode(fid, data, wanted)
+            values: dict[str, object] = {**row, "fid": fid, "objectid": fid + 1, "raw_row": data}
             if shape and "geom" in names:
                 values["geom"], values["gbox"], values["gparts"], values["gkind"] = geometry_row(row[shape.name], shape.grid, row[shape.name] is None, self._on_invalid)
             yield tuple(values[n] for n in names)
 
 
 class GeodatabaseSource(DataSource):
-    """Options: path, layer; fields (comma-separated) for fewer columns, rows_per_task, on_invalid_geometry (fail or keep_status)."""
+    """Options: path, layer; fields (comma-separated) for fewer columns, raw (true adds each row's bytes), rows_per_task, on_invalid_geometry (fail or keep_status)."""
 
     @classmethod
     def name(cls) -> str:
@@ -349,7 +375,7 @@ class GeodatabaseSource(DataSource):
 
     def schema(self) -> T.StructType:
         fields = self.options.get("fields")
-        return schema_of(self._table(), fields.split(",") if fields else None)
+        return schema_of(self._table(), fields.split(",") if fields else None, self.options.get("raw", "false") == "true")
 
     def reader(self, schema: T.StructType) -> DataSourceReader:
         return _Reader(self.options["path"], self.options["layer"], schema, int(self.options.get("rows_per_task", str(ROWS_PER_TASK))), self.options.get("on_invalid_geometry", "fail"))

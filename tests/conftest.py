@@ -117,7 +117,10 @@ def gdb_dir(tmp_path):
     directory = tmp_path / "small.gdb"
     directory.mkdir()
     catalog = GdbWriter([("OBJECTID", 6, False), ("Name", 4, False)])
-    catalog.write(directory, 1, [catalog.row([n]) for n in ("GDB_SystemCatalog", "places", "notes")])
+    catalog.write(directory, 1, [catalog.row([n]) for n in ("GDB_SystemCatalog", "places", "notes", "GDB_Items")])
+    items = GdbWriter([("OBJECTID", 6, False), ("Name", 4, True), ("PhysicalName", 4, True), ("Path", 4, True), ("Definition", 12, True)])
+    domain = '<GPRangeDomain2 xsi:type="typens:GPRangeDomain2"><DomainName>Level</DomainName><MinValue>1</MinValue></GPRangeDomain2>'
+    items.write(directory, 4, [items.row(["places", "PLACES", "/g/places", "<DatasetType>x</DatasetType>"]), items.row(["Level", "LEVEL", None, domain])])
 
     def point(x: float, y: float) -> bytes:
         return unsigned_bytes(1) + unsigned_bytes(round((x + 400) * 1000) + 1) + unsigned_bytes(round((y + 400) * 1000) + 1)

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cairnfield import cli
-from cairnfield.catalog import Budget, Dataset, parse_uri
+from cairnfield.catalog import Budget, Dataset, parse_uri, route
 from cairnfield.errors import Code, EngineError
 from cairnfield.functions import dates, text
 from cairnfield.operators import relations
@@ -20,7 +20,7 @@ from cairnfield.streaming.filters import filtered_stream
 
 def test_tables(gdb_dir):
     db = filegdb.Geodatabase(gdb_dir)
-    assert db.layer_names() == ["notes", "places"] and db.layer_names(system=True)[0] == "GDB_SystemCatalog"
+    assert db.layer_names() == ["notes", "places"] and db.layer_names(system=True)[:2] == ["GDB_Items", "GDB_SystemCatalog"]
     assert db.resolve("PLACES") == 2 and db.open("places").geometry.grid.xy_scale == 1000.0
     first, second = (row for _, row in db.open("notes").rows())
     assert first == {"OBJECTID": 1, "s": -7, "b": 1 << 40, "f": 0.5, "d": 2.25, "u": "03020100-0504-0706-0809-0a0b0c0d0e0f", "raw": b"\x00\x01", "t": 36526.5, "o": (36526.25, -90), "x": "<a/>"}
@@ -30,6 +30,19 @@ def test_tables(gdb_dir):
         db.resolve("nothing")
 
 
+def test_sparse_offset_file(gdb_dir):
+    table = filegdb.Geodatabase(gdb_dir).open("places")
+    path = table.path[:-5] + "tablx"
+    data = open(path, "rb").read()
+    import struct
+
+    head, block = data[:16], data[16 : 16 + 1024 * 5]
+    with open(path, "wb") as out:  # the first block is left out
+        out.write(struct.pack("<IIII", 3, 1, 1024 + 7, 5) + block + struct.pack("<IIII", 1, 2, 2, 0) + bytes([0b10, 0, 0, 0]))
+    assert head and [fid for fid, _ in table.rows()] == [1024 + k for k in (0, 1, 2, 3, 4, 6)] and len(table) == 1031
+    assert table.offsets(1020, 1026)[:4] == [0] * 4 and table.offsets(1020, 1026)[4] > 0
+
+
 def test_source(spark, gdb_dir):
     df = filegdb.read_layer(spark, gdb_dir, "places", rows_per_task="3")
     assert df.rdd.getNumPartitions() > 1
@@ -169,6 +182,31 @@ def test_metadata(spark):
     assert {r.parent: r.members for r in metadata.groups(items.where("path <> '/'")).collect()} == {"/": ["n", "rel"], "/g": ["roads"]}
 
 
+def test_metadata_of_a_directory(spark, gdb_dir):
+    dataset = Dataset.open(spark, gdb_dir)
+    found = dataset.metadata()
+    assert [(r.name, r.type, r.min_value) for r in found["domains"].collect()] == [("Level", "typens:GPRangeDomain2", "1")]
+    assert [tuple(r) for r in found["groups"].collect()] == [("/g", ["places"])]
+    assert {r.name: r.status for r in dataset.audit().collect()} == {"GDB_Items": "ok", "GDB_ItemRelationships": "missing", "GDB_ItemRelationshipTypes": "missing", "GDB_ItemTypes": "missing", "GDB_SpatialRefs": "missing"}
+    assert {r.ext: r.n_files for r in relations.inventory(dataset.files()).collect()} == {"gdbtable": 4, "gdbtablx": 4}
+    assert "GDB_Items" not in dataset.layer_names() and dataset.system_table("nothing") is None
+    assert route("s3://bucket/a.gdb").source == "object store" and route(gdb_dir).engine == "spark"
+
+
+def test_raw_rows_and_undecodable_geometry(spark, gdb_dir):
+    rows = filegdb.read_layer(spark, gdb_dir, "notes", raw="true").orderBy("fid").collect()
+    table = filegdb.Geodatabase(gdb_dir).open("notes")
+    assert table.decode(0, bytes(rows[0].raw_row))["s"] == -7
+    from cairnfield.operators.geometry import Grid, peek_envelope, unsigned_bytes
+
+    patch = b"".join(map(unsigned_bytes, (54, 4, 10, 1, 1000, 2000, 500, 250))) + b"..."
+    assert peek_envelope(patch, Grid(xy_scale=1000.0)) == (1.0, 2.0, 1.5, 2.25)
+    geom, box, parts, _ = filegdb.geometry_row(patch, Grid(xy_scale=1000.0), False, "keep_status")
+    assert geom[0] is None and geom[4] == "unsupported type" and box == (1.0, 2.0, 1.5, 2.25) and parts is None
+    with pytest.raises(EngineError):
+        filegdb.geometry_row(patch, Grid(), False, "fail")
+
+
 def test_functions(spark):
     row = spark.range(1).select(
         dates.ole_text(F.lit(-0.5)).alias("negative"),
