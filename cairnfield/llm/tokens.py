@@ -43,7 +43,7 @@ HAS_CHECKSUMS = 0x80
 #: Decompressed bytes after which a frame ends with its document.
 FRAME_BYTES = 1 << 16
 #: Words of each of the two generations whose ids a worker remembers.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
 #: Words that go through the library at once.
 ENCODE_WORDS = 2_000
 #: A word that ends in ASCII signs after an ASCII letter; the tokenizer parts the two.
@@ -80,7 +80,8 @@ class WordIds:
         whole, tokenize = [], self._tokenizer.model.tokenize
         for word in words:
             if self._plain and (letters := self._letters(word)):
-                self._young[word] = np.array([t.id for t in tokenize(letters)], "<u4").tobytes()
+                ids = [t.id for t in tokenize(letters)]
+                self._young[word] = struct.pack(f"<{len(ids)}I", *ids)
             else:
                 whole.append(word)
         for at in range(0, len(whole), ENCODE_WORDS):
@@ -89,12 +90,10 @@ class WordIds:
                 self._young[word] = np.array(code.ids, "<u4").tobytes()
 
     def _recall(self, words: set[bytes]) -> None:
-        """Brings words into the young generation."""
+        """Brings words into the young generation, where they are not."""
         young, old = self._young, self._old
         new, parted = set(), []
         for word in words:
-            if word in young:
-                continue
             if (ids := old.get(word)) is not None:
                 young[word] = ids
             elif b"<|" not in word and ((m := _SIGNS.fullmatch(word)) or not word.islower()) and (base := (m[1] if m else word)):
@@ -120,11 +119,13 @@ class WordIds:
     def of(self, text: bytes) -> bytes:
         """The tokenizer never joins what white space parts, so a text's ids are those of its words."""
         words = text.split()
-        self._recall(set(words))
-        ids = b"".join(map(self._young.__getitem__, words))
+        ids = list(map(self._young.get, words))
+        if missing := {w for w, i in zip(words, ids, strict=True) if i is None}:
+            self._recall(missing)
+            ids = [self._young[w] if i is None else i for w, i in zip(words, ids, strict=True)]
         if len(self._young) > CACHE_WORDS:
             self._old, self._young = self._young, {}
-        return ids
+        return b"".join(ids)
 
 
 _KNOWN: dict[str, WordIds] = {}
