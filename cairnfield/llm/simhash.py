@@ -9,7 +9,7 @@ No link can be missed.
 
 Only distinct fingerprints enter the tables. A bucket with more members than `bucket` is not searched
 but dealt out again by the same construction over the positions its mask leaves out; the masks grow
-until the bits left over allow no more distinct fingerprints than a bucket may have. A bucket gives a
+until the bits left over allow no more distinct fingerprints than a bucket may have (2**radius at least). A bucket gives a
 spanning set of its links, never all pairs.
 
 Defined results: a null text has no words and the fingerprint zero, linked like any other; component
@@ -72,8 +72,13 @@ def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_c
 
 
 def covering_masks(positions: list[int], radius: int = RADIUS) -> list[int]:
-    """For every set of radius positions or fewer, some mask keeps none of them."""
-    vectors = range(1, 1 << (radius + 1))
+    """For every set of radius positions or fewer, some mask keeps none of them.
+
+    The unit vectors come first: with more than radius positions every mask then keeps one at least.
+    """
+    units = [1 << k for k in range(radius + 1)]
+    others = sorted((v for v in range(1, 1 << (radius + 1)) if v not in units), key=lambda v: v * 2654435761 % (1 << 32))
+    vectors = [*units, *others]
     of = {p: vectors[i % len(vectors)] for i, p in enumerate(positions)}
     return [sum(1 << p for p in positions if (of[p] & v).bit_count() % 2) for v in vectors]
 
@@ -181,7 +186,7 @@ def _search_level(fps: DataFrame, level: int, radius: int, bucket: int) -> DataF
 
 def links(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
     """(a, b): links that hold the same groups together as all pairs of fps within radius; fps: distinct values of fp."""
-    level, found = 0, None
+    level, found, bucket = 0, None, max(bucket, 1 << radius)
     todo = fps.select(F.lit(0).cast("long").alias("tab"), "fp")
     while True:
         result = _search_level(todo, level, radius, bucket)

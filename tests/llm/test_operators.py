@@ -289,6 +289,17 @@ def test_simhash_components(docs, rows):
     assert all(r.component_id == least.get(of[int(r.fingerprint, 16)]) for r in got)
 
 
+@pytest.mark.parametrize("radius", [1, 2, 4, 6])
+def test_masks_always_grow(radius):
+    for n in range(radius + 1, 20):
+        assert all(simhash.covering_masks(list(range(n)), radius))
+    masks = simhash.covering_masks(list(range(64)), radius)
+    rng = random.Random(radius)
+    for _ in range(2000):
+        differ = sum(1 << b for b in rng.sample(range(64), radius))
+        assert any(not m & differ for m in masks)
+
+
 @pytest.mark.parametrize("bucket", [8, 512])
 def test_dense_clusters_lose_no_link(spark, bucket):
     rng = random.Random(6)
