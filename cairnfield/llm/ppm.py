@@ -229,11 +229,22 @@ class PpmModel:
 
 
 def fit(counts: DataFrame, max_grams: int = 600_000) -> PpmModel:
-    """The most frequent byte n-grams of all lengths. Equal counts take the shorter first, so that a context's own context is always there."""
+    """The most frequent byte n-grams of all lengths, max_grams at most.
+
+    A histogram of the counts, by steps of their logarithm, gives the count from which n-grams are taken; no task
+    sorts them. An n-gram is at least as frequent as those that it begins or ends, so contexts of contexts are there.
+    """
     part = F.array(*(F.struct(F.lit(d).alias("depth"), F.col("key").bitwiseAND((1 << (8 * (d + 1))) - 1).alias("gram")) for d in range(ORDER + 1)))
     each = counts.where(F.col("kind") == _GRAMS).select("n", F.explode(part).alias("g")).groupBy("g.depth", "g.gram").agg(F.sum("n").alias("n"))
-    got = each.orderBy(F.desc("n"), "depth", "gram").limit(max_grams).toArrow()
-    return PpmModel(got["depth"].to_numpy().astype(np.int64), got["gram"].to_numpy().astype(np.uint64), got["n"].to_numpy())
+    stepped = cut(each.withColumn("step", F.floor(F.log2("n") * 64).cast("int")), "grams")
+    left, least = max_grams, 1 << 30
+    for r in sorted(stepped.groupBy("step").count().collect(), reverse=True):  # a few thousand steps at most
+        if r["count"] > left:
+            break
+        left, least = left - r["count"], r["step"]
+    got = stepped.where(F.col("step") >= least).select("depth", "gram", "n").toArrow()
+    order = np.lexsort((got["gram"].to_numpy(), got["depth"].to_numpy()))
+    return PpmModel(got["depth"].to_numpy()[order].astype(np.int64), got["gram"].to_numpy()[order].astype(np.uint64), got["n"].to_numpy()[order])
 
 
 def score_documents(docs: DataFrame, training, max_grams: int = 600_000, heavy: int = 500_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
