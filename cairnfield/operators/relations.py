@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairnfield.functions.text import leaf_name, parent_path
 
 
 def first_of_each(df: DataFrame, key: str, order: str) -> DataFrame:
-    """Of rows with equal keys the first in order; nulls are no key."""
-    return df.where(F.col(key).isNotNull()).withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(order))).where("_n = 1").drop("_n")
+    """Of rows with equal keys the first in order (of equal ones the least in the other columns); nulls are no key.
+
+    Minima are combined before the shuffle, so a key of very many rows is one row a task.
+    """
+    rest = [c for c in df.columns if c not in (key, order)]
+    least = F.min(F.struct(order, *rest)).alias("_least") if order != key else F.min(F.struct(*rest)).alias("_least")
+    return df.where(F.col(key).isNotNull()).groupBy(key).agg(least).select(key, *([f"_least.{order}"] if order != key else []), *(f"_least.{c}" for c in rest))
 
 
 def _keyed(df: DataFrame, key: str, order: str, prefix: str, keep: dict[str, str]) -> DataFrame:
