@@ -5,15 +5,15 @@ gives each document evidence for domains; only words that clearly tell domains a
 regression on that evidence, fitted on labelled rows that the word counts did not see, gives posteriors. Document d has a nonnegative rate r(d), the expected number of its copies; the
 expected tokens of domain k are the sum of r(d) tokens(d) p(k | d). Projected gradient steps on the
 squared distance from the targets fit the rates: each step is one aggregation over all documents, whose
-K sums and K x K moments (K domains) go to the driver, and a new expression of the rates. The gradient
-is taken in the metric of the moments of the documents that are free to move, so that few steps do.
+K sums (K domains) go to the driver, and a new expression of the rates. The gradient is taken in the metric
+of the K x K moments of the posteriors, so that few steps do. A rate is at most `MOST`.
 
 Training rows: at most about `per_domain` of each domain, chosen by a hash of the id; the model has
 `BUCKETS` rows. Everything else covers all documents.
 
 Defined results: a null text has no tokens and the posteriors of texts without evidence; rows with equal ids are fitted
-each; null labels are left out; a domain without documents cannot be matched, and the rates are then
-those of least distance; without labels there is one domain, `all`; an empty table gives no rows.
+each; null labels are left out; targets that no rates meet (a domain without
+documents, posteriors that hardly differ) are met as far as they can be; without labels there is one domain, `all`; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,6 +30,10 @@ from cairnfield.llm.common import WORD_SPLIT, cut
 BUCKETS = 1 << 17
 #: Documents by which a word's counts are drawn to what is expected, and the least logarithm of a ratio that tells.
 SHRINK, TELLING = 5.0, 0.7
+#: No document is wanted more often than this.
+MOST = 2.0
+#: Least share of the largest moment of posteriors that rates steer by.
+STEERABLE = 0.02
 #: Rate expressions are written out after so many steps.
 STEPS_PER_CUT = 6
 
@@ -142,31 +146,27 @@ def posteriors(docs: DataFrame, model: DomainModel, id_col: str = "doc_id", text
     return cut(scaled.select(*keys, *((F.col(f"e{i}") / total).alias(f"p{i}") for i in k)), "posteriors")
 
 
-def fit_rates(members: DataFrame, targets: list[float], start: float, steps: int = 60, tolerance: float = 1e-6) -> DataFrame:
-    """members with `rate`; members: n_tokens and p0, p1, ... of each document, as written out; targets: tokens of each domain.
+def fit_rates(members: DataFrame, targets: list[float], start: float, most: float = MOST, steps: int = 40, tolerance: float = 1e-4) -> DataFrame:
+    """members with `rate`, from 0 to most; members: n_tokens and p0, p1, ... of each document, as written out; targets: tokens of each domain.
 
-    start: the rate that every document has before the first step; rates stay near it where targets allow.
+    start: the rate that every document has before the first step; rates stay near it where targets allow. In the
+    metric of the moments of all documents a whole step never overshoots. Combinations of domains in which the
+    posteriors hardly differ (under STEERABLE of the largest moment) are left alone.
     """
     k = range(len(targets))
     goal = np.array(targets, float)
-    scale = max(goal.sum(), 1.0)
+    found = members.agg(*(F.coalesce(F.sum(F.col("n_tokens") * F.col(f"p{i}") * F.col(f"p{j}")), F.lit(0.0)).alias(f"m{i}_{j}") for i in k for j in k if j >= i)).first()
+    moments = np.array([[found[f"m{min(i, j)}_{max(i, j)}"] for j in k] for i in k])
+    inverse = np.linalg.pinv(moments, rcond=STEERABLE, hermitian=True)
     rated = members.withColumn("rate", F.lit(float(start)))
     for step in range(1, steps + 1):
         tokens = F.col("n_tokens") * F.col("rate")
-        free = F.when(F.col("rate") > 0, F.col("n_tokens")).otherwise(0.0)
-        found = rated.agg(
-            *(F.coalesce(F.sum(tokens * F.col(f"p{i}")), F.lit(0.0)).alias(f"y{i}") for i in k),
-            *(F.coalesce(F.sum(free * F.col(f"p{i}") * F.col(f"p{j}")), F.lit(0.0)).alias(f"m{i}_{j}") for i in k for j in k if j >= i),
-        ).first()
-        gap = np.array([found[f"y{i}"] for i in k]) - goal
-        if np.abs(gap).max() <= tolerance * scale:
-            break
-        moments = np.array([[found[f"m{min(i, j)}_{max(i, j)}"] for j in k] for i in k])
-        move = np.linalg.pinv(moments, rcond=1e-9, hermitian=True) @ gap
-        if not np.abs(move).max() > 1e-12:
+        sums = rated.agg(*(F.coalesce(F.sum(tokens * F.col(f"p{i}")), F.lit(0.0)) for i in k)).first()
+        move = inverse @ (np.array(list(sums)) - goal)
+        if np.abs(move).max() <= tolerance:
             break
         slope = sum((F.col(f"p{i}") * float(move[i]) for i in k[1:]), F.col("p0") * float(move[0]))
-        rated = rated.withColumn("rate", F.greatest(F.lit(0.0), F.col("rate") - slope))
+        rated = rated.withColumn("rate", F.least(F.lit(float(most)), F.greatest(F.lit(0.0), F.col("rate") - slope)))
         if step % STEPS_PER_CUT == 0:
             rated = cut(rated, "rates")
     return rated

@@ -205,14 +205,14 @@ def test_toxicity_of_awkward_tables(spark, docs, rows):
 # --- 5 --------------------------------------------------------------------------------------------
 
 
-def brute_rates(a, targets, start):
+def brute_rates(a, targets, start, most):
     """Projected gradient of plain numpy, many small steps."""
     r = np.full(a.shape[1], start)
     weight = a.sum(0)
     scaled = a / np.maximum(weight, 1e-9)
     for _ in range(20_000):
         gap = a @ r - targets
-        r = np.maximum(0, r - scaled.T @ gap / (2 * (scaled @ a.T).trace()))
+        r = np.clip(r - scaled.T @ gap / (2 * (scaled @ a.T).trace()), 0, most)
     return r
 
 
@@ -222,10 +222,20 @@ def test_rates_meet_targets(spark):
     n = rng.integers(1, 400, 200)
     members = common.cut(spark.createDataFrame([(i, int(n[i]), *map(float, p[i])) for i in range(200)], "row_id int, n_tokens long, p0 double, p1 double, p2 double"), "members")
     a = (p * n[:, None]).T
-    for targets in ([9000.0, 5000.0, 1000.0], [1000.0, 1000.0, 15_000.0]):
-        got = np.array([r.rate for r in mixing.fit_rates(members, targets, 0.5).orderBy("row_id").collect()])
-        assert (got >= 0).all() and np.abs(a @ got - targets).max() < 0.01 * sum(targets)
-        assert np.abs(a @ brute_rates(a, np.array(targets), 0.5) - a @ got).max() < 0.02 * sum(targets)
+    have = a.sum(1)
+    for share in ([0.6, 0.5, 0.2], [0.1, 0.1, 0.9]):  # the second cannot be met whole
+        targets = have * share
+        got = np.array([r.rate for r in mixing.fit_rates(members, targets.tolist(), 0.5, most=1.0).orderBy("row_id").collect()])
+        plain = brute_rates(a, targets, 0.5, 1.0)
+        assert (got >= 0).all() and (got <= 1).all() and np.abs(a @ (plain - got)).max() < 0.05 * have.sum()
+        if share[0] == 0.6:
+            assert np.abs(a @ got - targets).max() < 0.01 * have.sum()
+
+
+def test_rates_stay_where_posteriors_say_nothing(spark):
+    members = common.cut(spark.createDataFrame([(i, 100, 0.8 + i * 1e-4, 0.2 - i * 1e-4) for i in range(50)], "row_id int, n_tokens long, p0 double, p1 double"), "members")
+    rates = [r.rate for r in mixing.fit_rates(members, [4500.0, 10.0], 0.9).collect()]
+    assert max(rates) - min(rates) < 0.01 and 0.8 < rates[0] < 1.1
 
 
 def test_mixing_awkward_tables(spark, docs, rows):
