@@ -8,10 +8,12 @@ longer context are excluded there. The document's code length is the sum over it
 A text is modelled as its words, A-Z lower-cased, joined by one space and ended by a line feed, so its
 probability is that of its tokens. Beside it stands a smoothed unigram score of the same tokens.
 
-All training texts are counted. The trie keeps the `max_grams` most frequent byte n-grams, the model's
-size; the rest is left to the escapes. Word counts are kept whole: words that make up at least a
-`1 / heavy` part of all tokens, at most `heavy` of them by that definition, are sent to every worker;
-the other words meet their counts in a shuffle.
+All training texts are counted, and every counted n-gram is used: the trie is a table of (ORDER + 1)-grams,
+however many there are. A byte's probability depends on the gram that it ends alone, so a text's score is a
+sum over its grams. The `cached` most frequent grams are sent to every worker with their probabilities; the
+others meet theirs, worked out from the whole table by ranges of contexts, in a shuffle. Word counts are kept
+whole in the same way: words that make up at least a `1 / heavy` part of all tokens, at most `heavy` of them by
+that definition, are sent to every worker; the other words meet their counts in a shuffle.
 
 Defined results: a null text is empty and has the end token alone; without training texts all counts
 are 0 and every byte is equally likely; repeated rows are all scored; an empty table gives no rows.
@@ -41,6 +43,8 @@ END = 10
 HELD_KEYS = 1_500_000
 #: Bytes scored at once.
 CHUNK = 1 << 20
+#: Grams whose contexts are worked out at once.
+RANGE_ROWS = 400_000
 _WORDS, _GRAMS, _DOCS = 0, 1, 2
 
 
@@ -64,6 +68,16 @@ def _padded(streams: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return whole, np.flatnonzero(real)
 
 
+def _codes(streams: list[bytes]) -> np.ndarray:
+    """The (ORDER + 1)-gram that each byte of the streams ends, the byte itself lowest."""
+    whole, at = _padded(streams)
+    wide = whole.astype(np.uint64)
+    codes = np.zeros(len(at), np.uint64)
+    for back in range(ORDER, -1, -1):
+        codes = (codes << np.uint64(8)) | wide[at - back]
+    return codes
+
+
 class _Tally:
     """Counts of 64-bit keys, by sorting."""
 
@@ -117,12 +131,7 @@ def count_corpus(texts: DataFrame) -> DataFrame:
                     size += len(streams[-1])
                 if streams and (text is None or size > CHUNK):
                     tallies[_WORDS].add(_hashes(words))
-                    whole, at = _padded(streams)
-                    wide = whole.astype(np.uint64)
-                    codes = np.zeros(len(at), np.uint64)
-                    for back in range(ORDER, -1, -1):
-                        codes = (codes << np.uint64(8)) | wide[at - back]
-                    tallies[_GRAMS].add(codes)
+                    tallies[_GRAMS].add(_codes(streams))
                     streams, words, size = [], [], 0
                     for kind, tally in tallies.items():
                         if tally.full() and (out := tally.take(kind)):
@@ -137,7 +146,7 @@ def count_corpus(texts: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class PpmModel:
-    """Byte n-grams, the last byte being the one predicted, with the depth of their contexts and their counts; the trie is worked out where it is used."""
+    """A trie held in memory, for small corpora. Byte n-grams, the last byte being the one predicted, with the depth of their contexts and their counts; the trie is worked out where it is used."""
 
     depths: np.ndarray
     grams: np.ndarray
@@ -228,8 +237,18 @@ class PpmModel:
         return np.add.reduceat(each, np.append(0, ends[:-1]))
 
 
-def fit(counts: DataFrame, max_grams: int = 600_000) -> PpmModel:
-    """The most frequent byte n-grams of all lengths, max_grams at most.
+def _least_step(stepped: DataFrame, most: int) -> int:
+    """The lowest step from which on there are at most `most` rows."""
+    left, least = most, 1 << 30
+    for r in sorted(stepped.groupBy("step").count().collect(), reverse=True):  # a few thousand steps at most
+        if r["count"] > left:
+            break
+        left, least = left - r["count"], r["step"]
+    return least
+
+
+def fit(counts: DataFrame, max_grams: int | None = None) -> PpmModel:
+    """The byte n-grams of all lengths in memory, the most frequent max_grams at most if that is given; `score_documents` needs no such model.
 
     A histogram of the counts, by steps of their logarithm, gives the count from which n-grams are taken; no task
     sorts them. An n-gram is at least as frequent as those that it begins or ends, so contexts of contexts are there.
@@ -237,18 +256,152 @@ def fit(counts: DataFrame, max_grams: int = 600_000) -> PpmModel:
     part = F.array(*(F.struct(F.lit(d).alias("depth"), F.col("key").bitwiseAND((1 << (8 * (d + 1))) - 1).alias("gram")) for d in range(ORDER + 1)))
     each = counts.where(F.col("kind") == _GRAMS).select("n", F.explode(part).alias("g")).groupBy("g.depth", "g.gram").agg(F.sum("n").alias("n"))
     stepped = cut(each.withColumn("step", F.floor(F.log2("n") * 64).cast("int")), "grams")
-    left, least = max_grams, 1 << 30
-    for r in sorted(stepped.groupBy("step").count().collect(), reverse=True):  # a few thousand steps at most
-        if r["count"] > left:
-            break
-        left, least = left - r["count"], r["step"]
+    least = 0 if max_grams is None else _least_step(stepped, max_grams)
     got = stepped.where(F.col("step") >= least).select("depth", "gram", "n").toArrow()
     order = np.lexsort((got["gram"].to_numpy(), got["depth"].to_numpy()))
     return PpmModel(got["depth"].to_numpy()[order].astype(np.int64), got["gram"].to_numpy()[order].astype(np.uint64), got["n"].to_numpy()[order])
 
 
-def score_documents(docs: DataFrame, training, max_grams: int = 600_000, heavy: int = 500_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Figures and scores of every document; training: a column that is true where a document is learned from."""
+class GramCache:
+    """Values of the most frequent grams, in two tables by different hashes; a gram that finds both its places taken is left out."""
+
+    FACTORS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+
+    def __init__(self, grams: np.ndarray, values: np.ndarray) -> None:
+        """grams: the most frequent first."""
+        bits = max(4, int(len(grams) * 1.5).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.tables = []
+        for factor in self.FACTORS:
+            keys, held = np.full(1 << bits, -1, np.int64).view(np.uint64), np.zeros(1 << bits)  # no gram has 64 bits
+            slots, first = np.unique((grams * factor) >> self.shift, return_index=True)
+            keys[slots], held[slots] = grams[first], values[first]
+            self.tables.append((keys, held))
+            left = np.ones(len(grams), bool)
+            left[first] = False
+            grams, values = grams[left], values[left]
+
+    def get(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(value, or 0 where there is none; which have one)."""
+        out, known = np.zeros(len(grams)), np.zeros(len(grams), bool)
+        todo = np.arange(len(grams))
+        for factor, (keys, held) in zip(self.FACTORS, self.tables, strict=True):
+            own = grams[todo]
+            slots = (own * factor) >> self.shift
+            hit = keys[slots] == own
+            out[todo[hit]], known[todo[hit]] = held[slots[hit]], True
+            todo = todo[~hit]
+        return out, known
+
+
+def _within(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place of each wanted value in the ascending keys; whether it is there)."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    place = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return place, keys[place] == wanted
+
+
+def gram_logs(grams: np.ndarray, counts: np.ndarray, asked: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """log10 of the probability of the last byte of each asked gram.
+
+    grams, counts: all that training has of the contexts whose last two bytes are those of the asked ones; pairs: how
+    often byte y follows byte x in all of training, 256 x 256.
+    """
+    levels = []  # by depth: grams, counts, contexts, their totals, successors, and both of the parent without those
+    for depth in range(ORDER + 1):
+        if depth < 2:
+            flat = pairs.reshape(-1) if depth else pairs.sum(0)
+            own = np.flatnonzero(flat).astype(np.uint64)
+            n = flat[own.astype(np.int64)]
+        else:
+            own, at = np.unique(grams & np.uint64((1 << (8 * (depth + 1))) - 1), return_inverse=True)
+            n = np.bincount(at, counts, len(own))
+        contexts, of = np.unique(own >> np.uint64(8), return_inverse=True)
+        total, distinct = np.bincount(of, n, len(contexts)), np.bincount(of, minlength=len(contexts))
+        rest = fewer = None
+        if depth and len(own):
+            below = levels[-1]
+            lower = below[1][np.searchsorted(below[0], own & np.uint64((1 << (8 * depth)) - 1))]
+            parent = np.searchsorted(below[2], contexts & np.uint64((1 << (8 * (depth - 1))) - 1))
+            rest = below[3][parent] - np.bincount(of, lower, len(contexts))
+            fewer = below[4][parent] - distinct
+        levels.append((own, n, contexts, total, distinct, rest, fewer))
+    out = np.zeros(len(asked))
+    todo = np.arange(len(asked))
+    rest, fewer = np.full(len(asked), -1.0), np.zeros(len(asked))  # rest < 0: no longer context was seen
+    for depth in range(ORDER, -1, -1):
+        own, n, contexts, total, distinct, next_rest, next_fewer = levels[depth]
+        code = asked[todo] & np.uint64((1 << (8 * (depth + 1))) - 1)
+        node, seen = _within(contexts, code >> np.uint64(8))
+        if not seen.any():
+            continue
+        place, hit = _within(own, code)
+        first = rest[todo] < 0
+        t = np.where(first, total[node], rest[todo])
+        d = np.where(first, distinct[node], fewer[todo])
+        done, on = todo[hit], seen & ~hit
+        out[done] += np.log10((n[place[hit]] - 0.5) / t[hit])
+        away = on & (t > 0)
+        out[todo[away]] += np.log10(d[away] / 2 / t[away])
+        if depth:
+            rest[todo[on]], fewer[todo[on]] = next_rest[node[on]], next_fewer[node[on]]
+        todo = todo[~hit]
+    out[todo] -= math.log10(max(1, 256 - len(levels[0][0])))
+    return out
+
+
+def exact_logs(trained: DataFrame, asked: DataFrame) -> DataFrame:
+    """(key, log): log10 of the probability of every distinct gram of asked; trained: (key, n), all grams of training; both by ranges of contexts."""
+    pairs = np.zeros(1 << 16)
+    for r in trained.groupBy(F.col("key").bitwiseAND(0xFFFF).alias("pair")).agg(F.sum("n").alias("n")).collect():  # 65,536 rows at most
+        pairs[r["pair"]] = r["n"]
+    shared = trained.sparkSession.sparkContext.broadcast(pairs.reshape(256, 256))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
+
+        def worked(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            keys, asked = keys.view(np.uint64), n == 0
+            logs = gram_logs(keys[~asked], n[~asked], keys[asked], shared.value)
+            return pa.RecordBatch.from_arrays([pa.array(keys[asked].view(np.int64)), pa.array(logs)], names=["key", "log"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(tuple(batch.column(i).to_numpy() for i in range(3)))
+            size += batch.num_rows
+            if size > RANGE_ROWS and held[0][0][0] != held[-1][0][-1]:
+                ranges, keys, n = (np.concatenate(x) for x in zip(*held, strict=True))
+                end = int(np.searchsorted(ranges, ranges[-1]))  # the last range may go on
+                yield worked(keys[:end], n[:end])
+                held, size = [(ranges[end:], keys[end:], n[end:])], len(keys) - end
+        if held:
+            _, keys, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            yield worked(keys, n)
+
+    both = trained.select("key", "n").unionByName(asked.select("key").distinct().withColumn("n", F.lit(0).cast("long")))
+    ranged = both.select(F.shiftright("key", 8).bitwiseAND(0xFFFF).alias("range"), "key", "n")
+    return ranged.repartition("range").sortWithinPartitions("range").mapInArrow(run, "key long, log double")
+
+
+def frequent_grams(trained: DataFrame, cached: int) -> GramCache:
+    """The most frequent grams, `cached` at most, and the logarithms of their probabilities; a histogram of the counts says from where on."""
+    stepped = trained.withColumn("step", F.floor(F.log2("n") * 64).cast("int"))
+    least = _least_step(stepped, cached)
+    context = F.shiftright("key", 8)
+    totals = trained.groupBy(context.alias("context")).agg(F.sum("n").alias("total"))
+    got = stepped.where(F.col("step") >= least).withColumn("context", context).join(totals, "context").select("key", "n", F.log10((F.col("n") - 0.5) / F.col("total")).alias("log")).toArrow()
+    order = np.argsort(-got["n"].to_numpy(), kind="stable")
+    return GramCache(got["key"].to_numpy().view(np.uint64)[order], got["log"].to_numpy()[order])
+
+
+def score_documents(docs: DataFrame, training, cached: int = 600_000, heavy: int = 500_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Figures and scores of every document; training: a column that is true where a document is learned from.
+
+    cached: grams that are sent to every worker; it changes no score.
+    """
     spark = docs.sparkSession
     counts = count_corpus(docs.where(training).select(as_bytes(F.col(text_col)).alias("body")))
     words = counts.where(F.col("kind") == _WORDS)
@@ -259,16 +412,17 @@ def score_documents(docs: DataFrame, training, max_grams: int = 600_000, heavy:
     common = words.where(F.col("n") * heavy >= total).select("key", "n").toArrow()
     keys = common["key"].to_numpy().view(np.uint64)
     order = np.argsort(keys)
-    shared = spark.sparkContext.broadcast((fit(counts, max_grams), keys[order], np.log10(common["n"].to_numpy()[order] + 0.1)))
+    trained = counts.where(F.col("kind") == _GRAMS).select("key", "n")
+    shared = spark.sparkContext.broadcast((frequent_grams(trained, cached), keys[order], np.log10(common["n"].to_numpy()[order] + 0.1)))
     end_score = math.log10(ended + 0.1)
     schema = T.StructType(
         [T.StructField("row_id", T.LongType()), T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("held_out", T.BooleanType())]
         + [T.StructField(n, T.LongType()) for n in ("n_tokens", "n_common")]
-        + [T.StructField("common_score", T.DoubleType()), T.StructField("score", T.DoubleType()), T.StructField("rare", T.ArrayType(T.LongType()))]
+        + [T.StructField("common_score", T.DoubleType()), T.StructField("score", T.DoubleType()), T.StructField("rare", T.ArrayType(T.LongType())), T.StructField("rare_grams", T.ArrayType(T.LongType()))]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, keys, values = shared.value
+        cache, keys, values = shared.value
         number = TaskContext.get().partitionId() << 40
 
         def close(rows: list[pa.Scalar], streams: list[bytes], found: list[list[bytes]]) -> list[pa.Array]:
@@ -279,12 +433,17 @@ def score_documents(docs: DataFrame, training, max_grams: int = 600_000, heavy:
             known = keys[place] == hashes if len(keys) else np.zeros(len(hashes), bool)
             base = np.bincount(owner[known], values[place[known]], len(found)) if len(keys) else np.zeros(len(found))
             rare = np.bincount(owner[~known], minlength=len(found))
+            codes = _codes(streams)
+            logs, cached_here = cache.get(codes)
+            text_of = np.repeat(np.arange(len(streams)), np.fromiter(map(len, streams), np.int64, len(streams)))
+            other = np.bincount(text_of[~cached_here], minlength=len(streams))
             return [
                 pa.array(lengths + 1),
                 pa.array(np.bincount(owner[known], minlength=len(found)) + int(ended > 0)),
                 pa.array(base + end_score),
-                pa.array(model.score(streams)),
+                pa.array(np.bincount(text_of, logs, len(streams))),
                 pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(rare)).astype(np.int32)), pa.array(hashes[~known].view(np.int64))),
+                pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(other)).astype(np.int32)), pa.array(codes[~cached_here].view(np.int64))),
             ]
 
         for batch in batches:
@@ -305,14 +464,17 @@ def score_documents(docs: DataFrame, training, max_grams: int = 600_000, heavy:
     uncommon = words.where(F.col("n") * heavy < total).select("key", "n")
     met = scored.select("row_id", F.explode("rare").alias("key")).join(uncommon, "key", "left")
     rest = met.groupBy("row_id").agg(F.sum(F.log10(F.coalesce("n", F.lit(0)) + 0.1)).alias("rare_score"), F.count("n").alias("n_rare"))
-    return scored.drop("rare").join(rest, "row_id", "left").select(
+    grams = scored.select("row_id", F.explode("rare_grams").alias("key"))
+    exact = exact_logs(trained, grams)
+    others = grams.join(exact, "key").groupBy("row_id").agg(F.sum("log").alias("gram_score"))
+    return scored.drop("rare", "rare_grams").join(rest, "row_id", "left").join(others, "row_id", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
         (F.col("n_common") + F.coalesce("n_rare", F.lit(0))).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("common_score") + F.coalesce("rare_score", F.lit(0.0)) - F.col("n_tokens") * norm).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("gram_score", F.lit(0.0))).alias("score"),
     )
 
 

@@ -489,6 +489,17 @@ def test_model_against_a_plain_one(spark):
     assert np.allclose(model.score(streams), [plain.log10(s) for s in streams], rtol=1e-4)
 
 
+@pytest.mark.parametrize("kept", [50, 600_000])
+def test_scores_use_every_counted_gram(spark, monkeypatch, kept):
+    monkeypatch.setattr(ppm, "RANGE_ROWS", 40, raising=False)
+    texts = [fixtures.prose(k, 30) for k in range(12)] + [fixtures.prose(77, 20), "", "Zebra 123 é", fixtures.prose(3, 30) + " Zq"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.score for r in ppm.score_documents(df, F.col("doc_id") < 12, kept).collect()}
+    streams = [b" ".join(ppm._tokens(t.encode())) + b"\n" for t in texts]
+    plain = PlainPpm(streams[:12])
+    assert np.allclose([got[k] for k in range(len(texts))], [plain.log10(s) for s in streams], rtol=1e-9)
+
+
 @pytest.mark.parametrize("grams", [30, 300, 600_000])
 def test_model_is_a_distribution(spark, grams):
     df = spark.createDataFrame([(fixtures.prose(k, 200),) for k in range(5)], "body string").select(common.as_bytes(F.col("body")).alias("body"))
