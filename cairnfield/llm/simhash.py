@@ -12,6 +12,9 @@ but dealt out again by the same construction over the positions its mask leaves
 until the bits left over allow no more distinct fingerprints than a bucket may have (2**radius at least). A bucket gives a
 spanning set of its links, never all pairs.
 
+The pipeline's stage (`keep_one_of_each`) links texts by the similarity of their sets of five-word shingles
+instead, which lies about 10 bits apart at 0.8: minima of hashes find candidates, and each is compared.
+
 Defined results: a null text has no words and the fingerprint zero, linked like any other; component
 ids are the smallest id that can be reached, null ids counting for nothing; repeated rows are each
 returned; an empty table gives no rows.
@@ -37,22 +40,35 @@ RADIUS = 3
 #: Distinct fingerprints that are compared with one another in one bucket.
 BUCKET = 512
 SEED = 42
+#: The pipeline's stage: words of a shingle, least similarity of a link, bands of minima and minima of a band.
+WORDS, SIMILAR = 5, 0.8
+BANDS, ROWS = 25, 5
+_FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+_ADDED = np.random.default_rng(SEED + 1).integers(0, 1 << 63, BANDS * ROWS, np.uint64)
 
 
-def fingerprint(text: bytes, words: int = 3) -> int:
-    """A bit is 1 if set in over half the hashes of the text's shingles, repeats included."""
+def shingle_hashes(text: bytes, words: int) -> np.ndarray:
+    """Hashes of the text's shingles, repeats included; a text of few words is one shingle."""
     parts = text.translate(ASCII_LOWER).split()
     if not parts:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(parts)
     if len(parts) <= words:
-        return xxhash.xxh64_intdigest(joined, SEED)
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
     lengths = np.fromiter(map(len, parts), np.int64, len(parts)) + 1
     ends = np.cumsum(lengths) - 1
     starts = ends - lengths + 1
     n = len(parts) - words + 1
     shingles = map(joined.__getitem__, map(slice, starts[:n].tolist(), ends[words - 1 :].tolist()))
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64, n)
+    return np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64, n)
+
+
+def fingerprint(text: bytes, words: int = 3) -> int:
+    """A bit is 1 if set in over half the hashes of the text's shingles, repeats included."""
+    hashes = shingle_hashes(text, words)
+    n = len(hashes)
+    if not n:
+        return 0
     counts = np.zeros(BITS, np.int64)
     for at in range(0, n, 1 << 15):
         counts += np.unpackbits(hashes[at : at + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
@@ -201,8 +217,13 @@ def links(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFra
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = RADIUS, bucket: int = BUCKET, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp and component_id of every document."""
     marked = cut(fingerprints(docs, words, id_col, text_col), "fingerprints")
+    return _with_components(marked, links(marked.select("fp").distinct(), radius, bucket))
+
+
+def _with_components(marked: DataFrame, found: DataFrame) -> DataFrame:
+    """doc_id, fp and component_id of every row of marked (doc_id, fp); found: links (a, b) between values of fp."""
     firsts = marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    roots = connected_components(links(firsts.select("fp"), radius, bucket))
+    roots = connected_components(found)
     of = firsts.join(roots, firsts.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     smallest = of.groupBy("root").agg(F.min("first_id").alias("component_id"))
     classes = cut(of.join(smallest, "root").select("fp", "component_id"), "classes")
@@ -213,12 +234,60 @@ def fingerprint_components(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _band_hashes(shingles: np.ndarray) -> list[int]:
+    """BANDS hashes of ROWS minima each, over the distinct shingles of a text."""
+    least = np.full(BANDS * ROWS, (1 << 64) - 1, np.uint64)
+    for at in range(0, len(shingles), 1 << 12):
+        least = np.minimum(least, (shingles[at : at + (1 << 12), None] * _FACTORS + _ADDED).min(0))
+    return [xxhash.xxh64_intdigest(part.tobytes(), k) for k, part in enumerate(least.reshape(BANDS, ROWS))]
+
+
+def similar_links(marked: DataFrame, least: float = SIMILAR, words: int = WORDS) -> DataFrame:
+    """(a, b): values of fp whose texts' shingle sets have a Jaccard similarity of `least` or more.
+
+    marked: fp, bands and body. Texts that share a band are candidates, at 0.8 all but 5 pairs in 100,000; every candidate's sets are compared.
+    """
+    banded = cut(marked.groupBy("fp").agg(F.first("bands").alias("bands")).select("fp", F.explode("bands").alias("band")), "bands")
+    other = banded.select(F.col("fp").alias("b"), "band")
+    pairs = cut(banded.select(F.col("fp").alias("a"), "band").join(other, "band").where("a < b").select("a", "b").distinct(), "candidates")
+    near = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
+    bodies = marked.select("fp", "body").join(near, "fp").dropDuplicates(["fp"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            same = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = (np.unique(shingle_hashes(text.as_py(), words)) for text in (x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                same.append(both >= least * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays(batch.filter(pa.array(same, pa.bool_())).columns[:2], names=["a", "b"])
+
+    first, second = (bodies.select(F.col("fp").alias(k), F.col("body").alias(f"body_{k}")) for k in "ab")
+    return cut(pairs.join(first, "a").join(second, "b").select("a", "b", "body_a", "body_b").mapInArrow(compare, "a long, b long"), "similar")
+
+
+def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, fp (a hash of the set of shingles, 0 without words) and component_id of every document, by similarity of shingle sets."""
+    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("fp", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("body", T.BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(text.as_py(), WORDS)) for text in batch.column(1)]
+            fps = np.fromiter((xxhash.xxh64_intdigest(x.tobytes(), SEED) if len(x) else 0 for x in sets), np.uint64, len(sets))
+            bands = np.array([h for x in sets if len(x) for h in _band_hashes(x)], np.uint64)
+            ends = np.append(0, np.cumsum([BANDS * (len(x) > 0) for x in sets]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(bands.view(np.int64))), batch.column(1)], names=schema.names)
+
+    marked = cut(docs.select(F.col(id_col).alias("doc_id"), as_bytes(F.col(text_col)).alias("body")).mapInArrow(run, schema), "shingles")
+    return _with_components(marked.select("doc_id", "fp"), similar_links(marked))
+
+
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, without those that are near another of a smaller id.
+    """The rows of docs, all columns, without those that are near another of a smaller id: five-word shingles with a Jaccard similarity of SIMILAR or more, or a chain of such.
 
     Rows without an id stay. Of rows with equal ids and equal texts one stays.
     """
-    gone = near_duplicates(docs, id_col=id_col, text_col=text_col).where("doc_id <> component_id").select(F.col("doc_id").alias("__cf_gone")).distinct()
+    gone = similar_texts(docs, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias("__cf_gone")).distinct()
     left = docs.join(gone, docs[id_col] == gone["__cf_gone"], "left_anti")
     again = Window.partitionBy(id_col, "__cf_hash").orderBy("__cf_hash")
     numbered = left.withColumn("__cf_hash", F.xxhash64(text_col)).withColumn("__cf_n", F.when(F.col(id_col).isNull(), 1).otherwise(F.row_number().over(again)))

@@ -342,6 +342,19 @@ def test_one_of_each_stays(spark, docs):
     assert ids.count(3) == 1 and 5 in ids and 50 not in ids and 51 not in ids and None in ids
 
 
+def test_stage_links_by_similarity_of_five_word_sets(spark):
+    rows = []
+    for k in range(20):
+        words = [f"w{k}x{i}" for i in range(100)]
+        rows.append((3 * k, " ".join(words)))
+        for copy, places in ((1, (30, 70)), (2, (20, 50, 80))):  # 86 of 106 shingles in common, and 81 of 111
+            rows.append((3 * k + copy, " ".join("new" if i in places else w for i, w in enumerate(words))))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    a, b, c = (set(np.unique(simhash.shingle_hashes(t.encode(), 5)).tolist()) for _, t in rows[:3])
+    assert len(a & b) / len(a | b) >= 0.8 > max(len(a & c) / len(a | c), len(b & c) / len(b | c))
+    assert sorted(r.doc_id for r in simhash.keep_one_of_each(df).collect()) == [k for k in range(60) if k % 3 != 1]
+
+
 # --- 7 --------------------------------------------------------------------------------------------
 
 
