@@ -32,7 +32,7 @@ BUCKETS = 1 << 17
 SHRINK, TELLING = 5.0, 0.7
 #: No document is wanted more often than this.
 MOST = 2.0
-#: Least share of the largest moment of posteriors that rates steer by.
+#: Least moment of posteriors that rates steer by, each domain's scaled to its tokens (the largest is then 1).
 STEERABLE = 0.02
 #: Rate expressions are written out after so many steps.
 STEPS_PER_CUT = 6
@@ -151,19 +151,23 @@ def fit_rates(members: DataFrame, targets: list[float], start: float, most: floa
 
     start: the rate that every document has before the first step; rates stay near it where targets allow. In the
     metric of the moments of all documents a whole step never overshoots. Combinations of domains in which the
-    posteriors hardly differ (under STEERABLE of the largest moment) are left alone.
+    posteriors hardly differ are left alone: those of a moment under STEERABLE, scaled to the domains' tokens, so that
+    a domain's size does not matter. Steps end when every target is met to `tolerance` of it, or nothing moves.
     """
     k = range(len(targets))
     goal = np.array(targets, float)
     found = members.agg(*(F.coalesce(F.sum(F.col("n_tokens") * F.col(f"p{i}") * F.col(f"p{j}")), F.lit(0.0)).alias(f"m{i}_{j}") for i in k for j in k if j >= i)).first()
     moments = np.array([[found[f"m{min(i, j)}_{max(i, j)}"] for j in k] for i in k])
-    inverse = np.linalg.pinv(moments, rcond=STEERABLE, hermitian=True)
+    scale = moments.sum(1)  # tokens of each domain, as posteriors sum to one
+    scale = np.divide(1.0, np.sqrt(scale), out=np.zeros_like(scale), where=scale > 0)
+    inverse = np.linalg.pinv(moments * np.outer(scale, scale), rcond=STEERABLE, hermitian=True) * np.outer(scale, scale)
     rated = members.withColumn("rate", F.lit(float(start)))
     for step in range(1, steps + 1):
         tokens = F.col("n_tokens") * F.col("rate")
         sums = rated.agg(*(F.coalesce(F.sum(tokens * F.col(f"p{i}")), F.lit(0.0)) for i in k)).first()
-        move = inverse @ (np.array(list(sums)) - goal)
-        if np.abs(move).max() <= tolerance:
+        gap = np.array(list(sums)) - goal
+        move = inverse @ gap
+        if (np.abs(gap) <= tolerance * goal).all() or np.abs(move).max() <= tolerance * 1e-3:
             break
         slope = sum((F.col(f"p{i}") * float(move[i]) for i in k[1:]), F.col("p0") * float(move[0]))
         rated = rated.withColumn("rate", F.least(F.lit(float(most)), F.greatest(F.lit(0.0), F.col("rate") - slope)))

@@ -238,6 +238,13 @@ def test_rates_stay_where_posteriors_say_nothing(spark):
     assert max(rates) - min(rates) < 0.01 and 0.8 < rates[0] < 1.1
 
 
+def test_rates_steer_a_domain_of_one_per_cent(spark):
+    rows = [(i, 100, 0.0, 1.0) if i % 100 == 0 else (i, 100, 1.0, 0.0) for i in range(2000)]
+    members = spark.createDataFrame(rows, "row_id long, n_tokens long, p0 double, p1 double")
+    rates = {r.p1: r.rate for r in mixing.fit_rates(members, [18_000.0, 2_000.0], 0.1).collect()}
+    assert math.isclose(rates[1.0], 1.0, rel_tol=1e-3) and math.isclose(rates[0.0], 18_000 / 198_000, rel_tol=1e-3)
+
+
 def test_mixing_awkward_tables(spark, docs, rows):
     got = mixing.document_rates(docs, fixtures.labels(spark)).collect()
     assert len(got) == len(rows) and all(r.rate >= 0 and r.copies >= 0 for r in got)
