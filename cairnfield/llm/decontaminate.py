@@ -5,7 +5,8 @@ TF-IDF vectors over the words of the items. A randomised singular value decompos
 pass over all passages, gives the latent space; the rows of both kinds weigh the same in all, so that
 neither the corpus' common words nor the items alone decide it. In that space every passage of every
 text is compared with every item: an item of n words with passages of 2n to 4n words that overlap by
-half, so one of them holds any copy whole. Pairs above a low cosine are candidates; a candidate counts
+half, so one of them holds any copy whole. Pairs above a low cosine are candidates, and so is every stretch
+that has RUN words in a row of an item, so a verbatim copy is always one; a candidate counts
 if the longest common subsequence of words covers enough of the item, or somewhat less of it together
 with its answer (the `answer` column, else the item's last words).
 
@@ -36,7 +37,9 @@ BLOCK = 16
 #: Blocks of a passage of the decomposition.
 PASSAGE = 8
 #: Directions of the random sketch, and of the items.
-NOISE, STRUCTURED = 48, 160
+NOISE, STRUCTURED = 48, 256
+#: Words in a row that make a stretch of text a candidate by themselves; of shorter items all words.
+RUN = 6
 #: Words handled at once.
 CHUNK_WORDS = 1 << 17
 TERMS_PER_ROW = 64
@@ -107,6 +110,15 @@ def _chunks(texts: list[bytes]) -> Iterator[tuple[int, list[list[bytes]]]]:
         yield begin, held
 
 
+def _run_hashes(terms: np.ndarray, codes: np.ndarray, length: int) -> np.ndarray:
+    """A hash of every run of so many terms; codes: a random number a term, the last one for -1."""
+    n = max(0, len(terms) - length + 1)
+    each, out = codes[terms], np.zeros(n, np.uint64)
+    for k in range(length):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + each[k : k + n]
+    return out
+
+
 def _run_sums(group: np.ndarray, table: np.ndarray, place: np.ndarray, weight: np.ndarray | None, n: int) -> np.ndarray:
     """Sums of table[place] * weight by group (ascending), n groups in all: first members first, so that every step adds to distinct rows."""
     out = np.zeros((n, table.shape[1]), np.float32)
@@ -201,12 +213,43 @@ class LatentIndex:
     items: tuple[Item, ...]
     by_span: dict[int, tuple[np.ndarray, np.ndarray]]
     settings: Settings
+    #: false for terms that weigh nothing
+    weighed: np.ndarray
+    #: a random number a term, and one for words outside the vocabulary
+    codes: np.ndarray
+    #: by length of the run: ascending hashes, and the item and its word of each
+    runs: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
+    latent: np.ndarray
+
+    def exact_candidates(self, chunk: list[list[bytes]], terms: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int, int, int, float]]:
+        """As candidates: the stretches around runs of words that an item has too."""
+        places: set[tuple[int, int, int]] = set()
+        for length, (keys, items, offsets) in self.runs.items():
+            hashes = _run_hashes(terms, self.codes, length)
+            bits = np.uint64(44)
+            known = np.zeros(1 << 20, bool)
+            known[keys >> bits] = True
+            at = np.flatnonzero(known[hashes >> bits])
+            low, high = np.searchsorted(keys, hashes[at], "left"), np.searchsorted(keys, hashes[at], "right")
+            for p, lo, hi in zip(at[high > low].tolist(), low[high > low].tolist(), high[high > low].tolist(), strict=True):
+                row = int(np.searchsorted(starts, p // BLOCK, "right")) - 1
+                word = p - int(starts[row]) * BLOCK
+                if word + length <= len(chunk[row]):
+                    places.update((row, int(items[k]), word - int(offsets[k])) for k in range(lo, hi))
+        for row, k, begin in sorted(places):
+            n = len(self.items[k].words)
+            lo, hi = max(0, begin - n // 2), min(len(chunk[row]), begin + n + n // 2)
+            first = int(starts[row]) * BLOCK
+            own = terms[first + lo : first + hi]
+            place = self.projection[own[own >= 0]].sum(0)
+            yield row, k, lo, hi, float(place @ self.latent[k] / max(float(np.linalg.norm(place)), 1e-9))
 
     def candidates(self, chunk: list[list[bytes]]) -> Iterator[tuple[int, int, int, int, float]]:
         """(row, item, first word, last word, cosine): the passages near an item, neighbours joined."""
         terms, starts = _laid_out(chunk, self.vocabulary)
         blocks = int(starts[-1])
         at = np.flatnonzero(terms >= 0)
+        at = at[self.weighed[terms[at]]]
         sums = _run_sums(at // BLOCK, self.projection, terms[at], None, blocks + 1)  # one empty block ends the last run
         span, half = 1, sums
         for wanted in sorted(self.by_span):
@@ -234,6 +277,7 @@ class LatentIndex:
             for (row, item), runs in best.items():
                 for lo, hi, cosine in runs:
                     yield row, item, max(0, lo), min(len(chunk[row]), hi), cosine
+        yield from self.exact_candidates(chunk, terms, starts)
 
     def hits(self, texts: list[bytes]) -> Iterator[tuple[int, int, float, float, float]]:
         """(row, item, cosine, covered, answered) of the candidates that count, the best of each row and item."""
@@ -289,9 +333,19 @@ def build_index(texts: DataFrame, items: list[Item], settings: Settings, seed: i
         while span // 2 * BLOCK < len(item.words):
             span *= 2
         spans.setdefault(span, []).append(i)
-    weighed = np.flatnonzero(idf > 0)
-    place = {int(k): i for i, k in enumerate(weighed)}
-    return LatentIndex({w: place[k] for w, k in vocabulary.items() if k in place}, (idf[:, None] * basis)[weighed], tuple(items), {s: (np.array(k), latent[k]) for s, k in spans.items()}, settings)
+    codes = rng.integers(0, 1 << 63, n + 1, np.uint64) * np.uint64(2) + np.uint64(1)
+    found: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+    for i, item in enumerate(items):
+        length = min(RUN, len(item.words))
+        hashes = _run_hashes(np.array([vocabulary[w] for w in item.words]), codes, length)
+        found.setdefault(length, []).append((hashes, np.full(len(hashes), i), np.arange(len(hashes))))
+    runs = {}
+    for length, parts in found.items():
+        hashes, own, offsets = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(hashes, kind="stable")
+        runs[length] = hashes[order], own[order], offsets[order]
+    by_span = {s: (np.array(k), latent[k]) for s, k in spans.items()}
+    return LatentIndex(vocabulary, idf[:, None] * basis, tuple(items), by_span, settings, idf > 0, codes, runs, latent)
 
 
 def _item_blocks(benchmark: DataFrame, id_col: str, text_col: str, per_block: int) -> Iterator[list[Item]]:
@@ -309,7 +363,7 @@ def _item_blocks(benchmark: DataFrame, id_col: str, text_col: str, per_block: in
         yield held
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, settings: Settings | None = None, items_per_block: int = 1000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, settings: Settings | None = None, items_per_block: int = STRUCTURED, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, cosine, covered, answered): every benchmark item found in a document."""
     spark = docs.sparkSession
     settings = settings or Settings()
@@ -334,7 +388,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, settings: Settings | None
     return spark.createDataFrame([], schema) if out is None else out
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, settings: Settings | None = None, items_per_block: int = 1000, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def without_leaks(docs: DataFrame, benchmark: DataFrame, settings: Settings | None = None, items_per_block: int = STRUCTURED, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, that hold no benchmark item."""
     settings = settings or Settings()
     texts = docs.select(as_bytes(F.col(text_col)).alias("body"))

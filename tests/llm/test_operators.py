@@ -407,6 +407,14 @@ def test_leaks_of_the_sample_match_plain_search(spark):
     assert want and want <= got and len(got - want) <= 2
 
 
+def test_verbatim_items_pass_without_the_cosine(spark):
+    never = decontaminate.Settings(cosine=2.0)  # as where the latent space does not show a copy
+    items = [(k, fixtures.prose(900 + k, 20 + k)) for k in range(6)] + [(6, "zq zw")]
+    docs = [(k, f"{fixtures.prose(k, 37)} {items[k][1]} {fixtures.prose(k + 50, 16)}") for k in range(7)]
+    got = decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), never).collect()
+    assert {(k, k) for k in range(7)} <= {(r.doc_id, r.item_id) for r in got if r.covered == 1.0}
+
+
 # --- 8 --------------------------------------------------------------------------------------------
 
 
