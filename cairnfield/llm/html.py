@@ -158,7 +158,7 @@ class PageLines(HTMLParser):
                 self._close()
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        self._tags += 1
+        self._tags += not self._dropped
         if tag in VOID:
             if tag not in INLINE:
                 if tag == "br":
@@ -177,6 +177,7 @@ class PageLines(HTMLParser):
             node = len(self.nodes)
             self.nodes.append(Node(tag, self._node, kind == 3, node))
             self._node = node
+            self._tags = 1  # what stands before a container says nothing of its first line
         if tag in _SCOPE:
             self._scopes.append(len(self._open))
         self._places.setdefault(tag, []).append(len(self._open))
@@ -190,7 +191,7 @@ class PageLines(HTMLParser):
         self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag: str) -> None:
-        self._tags += 1
+        self._tags += not self._dropped
         if tag not in INLINE:
             self._end_block()
         if self._places.get(tag):
@@ -300,11 +301,13 @@ def _regions(blocks: list[Block], nodes: list[Node], content: list[bool], share:
     weight = _sums([(b.node, b.plain) for b, c in zip(blocks, content, strict=True) if c], nodes)
     text = _sums([(b.node, b.plain) for b in blocks], nodes)
     whole = weight[0]
-    named = _outermost([k for k, n in enumerate(nodes) if n.tag in ("article", "main") and weight[k]], nodes)
+    chars = _sums([(b.node, len(b.text)) for b in blocks], nodes)
+    worth = [c > 0 and (w > 0 or 2 * t >= c) for w, t, c in zip(weight, text, chars, strict=True)]  # more than links
+    named = _outermost([k for k, n in enumerate(nodes) if n.tag in ("article", "main") and worth[k]], nodes)
     if whole and sum(weight[k] for k in named) >= share * whole:
         chosen, scopes = [], []
         for k in named:
-            inside = [j for j in range(k + 1, nodes[k].last + 1) if nodes[j].tag == "article" and weight[j]] if nodes[k].tag == "main" else []
+            inside = [j for j in range(k + 1, nodes[k].last + 1) if nodes[j].tag == "article" and worth[j]] if nodes[k].tag == "main" else []
             inside = _outermost(inside, nodes)
             if inside and sum(weight[j] for j in inside) >= share * weight[k]:
                 chosen += inside
