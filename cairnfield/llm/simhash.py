@@ -12,8 +12,13 @@ but dealt out again by the same construction over the positions its mask leaves
 until the bits left over allow no more distinct fingerprints than a bucket may have (2**radius at least). A bucket gives a
 spanning set of its links, never all pairs.
 
-The pipeline's stage (`keep_one_of_each`) links texts by the similarity of their sets of five-word shingles
-instead, which lies about 10 bits apart at 0.8: minima of hashes find candidates, and each is compared.
+The pipeline's stage (`keep_one_of_each`) links texts whose sets of five-word shingles have a Jaccard similarity
+of 0.8 or more. Such fingerprints differ in about 15 bits of 100, so longer ones, of several words of 64
+bits, are cut into blocks: of b blocks, some block of a pair within b (radius + 1) - 1 bits has radius or fewer, and the tables of
+that block make the two meet. The number of blocks follows from the recall that is asked for. Whatever meets
+and lies near enough by the whole fingerprint is a candidate, and the sets of every candidate are compared.
+Candidates between texts that are already connected are not asked for: each text first meets its nearest few, then, where links left groups
+apart, the next nearest, until none is left, so a large group does not give all its pairs.
 
 Defined results: a null text has no words and the fingerprint zero, linked like any other; component
 ids are the smallest id that can be reached, null ids counting for nothing; repeated rows are each
@@ -22,13 +27,15 @@ returned; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,11 +47,12 @@ RADIUS = 3
 #: Distinct fingerprints that are compared with one another in one bucket.
 BUCKET = 512
 SEED = 42
-#: The pipeline's stage: words of a shingle, least similarity of a link, bands of minima and minima of a band.
-WORDS, SIMILAR = 5, 0.8
-BANDS, ROWS = 25, 5
-_FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
-_ADDED = np.random.default_rng(SEED + 1).integers(0, 1 << 63, BANDS * ROWS, np.uint64)
+#: The pipeline's stage: words of a shingle, least similarity of a link, share of the pairs at that similarity that meet in a table.
+WORDS, SIMILAR, RECALL = 5, 0.8, 0.95
+#: Fingerprints that are expected in a bucket of the stage, by a power of two, and the nearest that a text meets in the first round.
+BUCKET_POWER, NEAREST = 7, 4
+#: Words of a fingerprint by which candidates are told from texts that only share a bucket.
+FILTER_LANES = 2
 
 
 def shingle_hashes(text: bytes, words: int) -> np.ndarray:
@@ -234,61 +242,253 @@ def fingerprint_components(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _band_hashes(shingles: np.ndarray) -> list[int]:
-    """BANDS hashes of ROWS minima each, over the distinct shingles of a text."""
-    least = np.full(BANDS * ROWS, (1 << 64) - 1, np.uint64)
-    for at in range(0, len(shingles), 1 << 12):
-        least = np.minimum(least, (shingles[at : at + (1 << 12), None] * _FACTORS + _ADDED).min(0))
-    return [xxhash.xxh64_intdigest(part.tobytes(), k) for k, part in enumerate(least.reshape(BANDS, ROWS))]
+def differing_share(similar: float) -> float:
+    """Expected share of differing bits of two fingerprints whose sets, of one size, have that Jaccard similarity."""
+    return math.acos(2 * similar / (1 + similar)) / math.pi
 
 
-def similar_links(marked: DataFrame, least: float = SIMILAR, words: int = WORDS) -> DataFrame:
-    """(a, b): values of fp whose texts' shingle sets have a Jaccard similarity of `least` or more.
+def _within(bits: int, radius: int, share: float) -> float:
+    """Probability that at most radius of so many bits differ."""
+    return sum(math.comb(bits, k) * share**k * (1 - share) ** (bits - k) for k in range(radius + 1))
 
-    marked: fp, bands and body. Texts that share a band are candidates, at 0.8 all but 5 pairs in 100,000; every candidate's sets are compared.
+
+@dataclass(frozen=True)
+class BlockPlan:
+    """Blocks of `size` bits, as many to a word of 64 bits as fit; all tables of all blocks together."""
+
+    size: int
+    blocks: int
+    lanes: int
+    #: most differing bits of the first FILTER_LANES words that make a candidate
+    farthest: int
+    radius: int = RADIUS
+
+    @property
+    def guaranteed(self) -> int:
+        """Pairs that differ in so many bits of the blocks always meet."""
+        return self.blocks * (self.radius + 1) - 1
+
+    def masks(self) -> list[tuple[int, np.uint64]]:
+        """(word, mask) of every table."""
+        each = 64 // self.size
+        return [(k // each, np.uint64(m)) for k in range(self.blocks) for m in covering_masks(list(range(k % each * self.size, (k % each + 1) * self.size)), self.radius)]
+
+
+def block_plan(n: int, similar: float = SIMILAR, recall: float = RECALL, radius: int = RADIUS) -> BlockPlan:
+    """Blocks for n fingerprints: a mask keeps about as many bits as buckets are wanted, and there are as many blocks as the recall needs."""
+    share = differing_share(similar)
+    kept = (1 << radius) / ((1 << (radius + 1)) - 1)
+    size = min(64, max(16, math.ceil((math.log2(max(2, n)) - BUCKET_POWER) / kept)))
+    blocks = max(2, math.ceil(math.log(1 - recall) / math.log(1 - _within(size, radius, share))))
+    bits = 64 * FILTER_LANES
+    farthest = next(t for t in range(bits) if _within(bits, t, share) >= 1 - (1 - recall) / 2)
+    return BlockPlan(size, blocks, max(FILTER_LANES, -(-blocks // (64 // size))), farthest, radius)
+
+
+def _remixed(hashes: np.ndarray, lane: int) -> np.ndarray:
+    """Other 64 bits of each hash (a multiply and xor-shift mixer); lane 0: the hash itself."""
+    if not lane:
+        return hashes
+    x = hashes + np.uint64(0x9E3779B97F4A7C15 * lane % (1 << 64))
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _majority(hashes: np.ndarray) -> np.uint64:
+    counts = np.zeros(BITS, np.int64)
+    for at in range(0, len(hashes), 1 << 15):
+        counts += np.unpackbits(hashes[at : at + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)[0]
+
+
+def sketch(shingles: np.ndarray, lanes: int) -> np.ndarray:
+    """The fingerprint of a set of shingles, lanes words long."""
+    return np.array([_majority(_remixed(shingles, k)) for k in range(lanes)], np.uint64)
+
+
+def _deal(nodes: DataFrame, plan: BlockPlan) -> DataFrame:
+    """Every fingerprint in every table; nodes: fp and sketch."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = plan.masks()
+        for batch in batches:
+            fps = batch.column(0)
+            words = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64).reshape(-1, plan.lanes)
+            first, second = (pa.array(np.ascontiguousarray(words[:, k]).view(np.int64)) for k in range(FILTER_LANES))
+            for number, (lane, mask) in enumerate(tables):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), number)), pa.array((words[:, lane] & mask).view(np.int64)), fps, first, second], names=["tab", "masked", "fp", "s0", "s1"])
+
+    dealt = nodes.select("fp", "sketch").mapInArrow(deal, "tab long, masked long, fp long, s0 long, s1 long")
+    return dealt.select("*", F.col("fp").alias("root"), F.lit(-1).cast("long").alias("mark"), F.lit(0).cast("long").alias("mark_fp"))
+
+
+_OPEN = ("tab", "masked", "fp", "s0", "s1", "mark", "mark_fp")
+
+
+def nearest_pairs(s0: np.ndarray, s1: np.ndarray, roots: np.ndarray, marks: np.ndarray, farthest: int, nearest: int) -> tuple[list[tuple[int, int]], np.ndarray, bool]:
+    """Of a bucket: each member with its nearest members of other groups that lie beyond its mark; the new marks; and whether any has more.
+
+    A mark is distance * members + place of the last member that was met; a member that met all has the largest mark.
     """
-    banded = cut(marked.groupBy("fp").agg(F.first("bands").alias("bands")).select("fp", F.explode("bands").alias("band")), "bands")
-    other = banded.select(F.col("fp").alias("b"), "band")
-    pairs = cut(banded.select(F.col("fp").alias("a"), "band").join(other, "band").where("a < b").select("a", "b").distinct(), "candidates")
-    near = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
-    bodies = marked.select("fp", "body").join(near, "fp").dropDuplicates(["fp"])
+    n = len(s0)
+    out: list[tuple[int, int]] = []
+    new, more = np.full(n, 1 << 62, np.int64), False
+    for at in range(0, n, 512):
+        part = slice(at, min(n, at + 512))
+        distance = np.bitwise_count(s0[part, None] ^ s0).astype(np.int64) + np.bitwise_count(s1[part, None] ^ s1)
+        near = distance <= farthest
+        near[np.arange(part.stop - at), np.arange(at, part.stop)] = False
+        if not near.any():
+            continue
+        near &= roots[part, None] != roots
+        keys = distance * n + np.arange(n)
+        near &= keys > marks[part, None]
+        counts = near.sum(1)
+        for i in np.flatnonzero(counts):
+            others = np.flatnonzero(near[i])
+            if len(others) > nearest:
+                others = others[np.argpartition(keys[i, others], nearest - 1)[:nearest]]
+                new[at + i], more = keys[i, others].max(), True
+            out.extend((at + int(i), j) for j in others.tolist())
+    return out, new, more
+
+
+def _met(rows: DataFrame, plan: BlockPlan, nearest: int) -> DataFrame:
+    """kind 0: a candidate (fp, other); kind 1: a member of a bucket that has more, with its mark."""
+    names = ("kind", "other", *_OPEN)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        pairs: list[np.ndarray] = []
+        opened: list[np.ndarray] = []
+
+        def close() -> None:
+            if not held:
+                return
+            tabs, masked, fps, s0, s1, marks, mark_fps, roots = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            n = len(fps)
+            if n < 2:
+                return
+            # a mark in the table is a distance and a fingerprint; members are in the order of fingerprints
+            places = np.searchsorted(fps, mark_fps)
+            own = np.where(marks < 0, -1, marks * n + places)
+            found, new, more = nearest_pairs(s0.view(np.uint64), s1.view(np.uint64), roots, own, plan.farthest, nearest)
+            if found:
+                x = fps[np.array(found)]
+                pairs.append(np.unique(np.stack([x.min(1), x.max(1)], 1), axis=0))
+            if more:
+                left = new < 1 << 62
+                far, place = np.where(left, new // n, 1 << 20), np.where(left, new % n, 0)
+                opened.append(np.stack([tabs, masked, fps, s0, s1, far, fps[place]]))
+
+        def flush() -> pa.RecordBatch:
+            met = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)
+            rest = np.concatenate(opened, 1) if opened else np.zeros((len(_OPEN), 0), np.int64)
+            zeros, none = np.zeros(len(met), np.int64), np.zeros(rest.shape[1], np.int64)
+            columns = [np.append(zeros, none + 1), np.append(met[:, 1], none)]
+            columns += [np.append(met[:, 0] if name == "fp" else zeros, rest[k]) for k, name in enumerate(_OPEN)]
+            pairs.clear()
+            opened.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+
+        key = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [batch.column(k).to_numpy() for k in range(len(_OPEN) + 1)]
+            ends = np.append(np.flatnonzero((columns[0][1:] != columns[0][:-1]) | (columns[1][1:] != columns[1][:-1])) + 1, batch.num_rows)
+            begin = 0
+            for end in ends.tolist():
+                own = (int(columns[0][begin]), int(columns[1][begin]))
+                if own != key:
+                    close()
+                    key = own
+                held.append([c[begin:end] for c in columns])
+                begin = end
+            if sum(map(len, pairs)) + sum(x.shape[1] for x in opened) > 100_000:
+                yield flush()
+        close()
+        yield flush()
+
+    ordered = rows.select(*_OPEN, "root").repartition("tab", "masked").sortWithinPartitions("tab", "masked", "fp")
+    return cut(ordered.mapInArrow(search, ", ".join(f"{n} long" for n in names)), "met")
+
+
+def _similar(pairs: DataFrame, bodies: DataFrame, least: float, words: int) -> DataFrame:
+    """The pairs (a, b) whose texts' sets of shingles have a Jaccard similarity of `least` or more; bodies: fp and body."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, x = None, np.zeros(0, np.uint64)
         for batch in batches:
             same = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = (np.unique(shingle_hashes(text.as_py(), words)) for text in (x, y))
+            for a, first, second in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                if a != last:
+                    last, x = a, np.unique(shingle_hashes(first.as_py(), words))
+                y = np.unique(shingle_hashes(second.as_py(), words))
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 same.append(both >= least * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays(batch.filter(pa.array(same, pa.bool_())).columns[:2], names=["a", "b"])
 
     first, second = (bodies.select(F.col("fp").alias(k), F.col("body").alias(f"body_{k}")) for k in "ab")
-    return cut(pairs.join(first, "a").join(second, "b").select("a", "b", "body_a", "body_b").mapInArrow(compare, "a long, b long"), "similar")
+    return cut(pairs.join(second, "b").join(first, "a").select("a", "b", "body_a", "body_b").mapInArrow(compare, "a long, b long"), "similar")
+
+
+def similar_links(marked: DataFrame, plan: BlockPlan, least: float = SIMILAR, words: int = WORDS) -> DataFrame:
+    """(a, b): values of fp whose texts' shingle sets have a Jaccard similarity of `least` or more, and that connect the same groups as all such pairs that meet in a table.
+
+    marked: row_id, fp, sketch and body.
+    """
+    nodes = cut(marked.where(F.length("sketch") > 0).groupBy("fp").agg(F.min(F.struct("row_id", "sketch")).alias("first")).select("fp", "first.row_id", "first.sketch"), "nodes")
+    rows, nearest, tested, found = _deal(nodes, plan), NEAREST, None, None
+    while True:
+        met = _met(rows, plan, nearest)
+        pairs = met.where("kind = 0").select(F.col("fp").alias("a"), F.col("other").alias("b")).distinct()
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        pairs = cut(pairs, "candidates")
+        near = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
+        bodies = marked.select("row_id", "body").join(nodes.join(near, "fp").select("row_id", "fp"), "row_id").select("fp", "body")
+        same = _similar(pairs, bodies, least, words)
+        found = same if found is None else found.union(same)
+        tested = pairs if tested is None else tested.union(pairs)
+        more = met.where("kind = 1").select(*_OPEN)
+        if more.isEmpty():
+            return found
+        roots = connected_components(found)
+        rows = more.join(roots, more.fp == roots.node, "left").select(*_OPEN, F.coalesce("root", "fp").alias("root"))
+        nearest *= 4
 
 
-def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (a hash of the set of shingles, 0 without words) and component_id of every document, by similarity of shingle sets."""
-    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("fp", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("body", T.BinaryType())])
+def with_sketches(docs: DataFrame, plan: BlockPlan, text_col: str = "text", words: int = WORDS, prefix: str = "__cf_") -> DataFrame:
+    """All columns of docs and, their names after prefix: row_id, fp (a hash of the set of shingles, 0 without words), sketch (empty without words) and body; written out."""
+    columns = docs.columns
+    schema = T.StructType([*docs.schema.fields, T.StructField(f"{prefix}row_id", T.LongType()), T.StructField(f"{prefix}body", T.BinaryType()), T.StructField(f"{prefix}fp", T.LongType()), T.StructField(f"{prefix}sketch", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.unique(shingle_hashes(text.as_py(), WORDS)) for text in batch.column(1)]
-            fps = np.fromiter((xxhash.xxh64_intdigest(x.tobytes(), SEED) if len(x) else 0 for x in sets), np.uint64, len(sets))
-            bands = np.array([h for x in sets if len(x) for h in _band_hashes(x)], np.uint64)
-            ends = np.append(0, np.cumsum([BANDS * (len(x) > 0) for x in sets]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(bands.view(np.int64))), batch.column(1)], names=schema.names)
+            fps, sketches = np.zeros(batch.num_rows, np.uint64), []
+            for i, text in enumerate(batch.column(len(columns) + 1)):
+                own = np.unique(shingle_hashes(text.as_py(), words))
+                fps[i] = xxhash.xxh64_intdigest(own.tobytes(), SEED) if len(own) else 0
+                sketches.append(sketch(own, plan.lanes).tobytes() if len(own) else b"")
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps.view(np.int64)), pa.array(sketches, pa.binary())], names=schema.names)
 
-    marked = cut(docs.select(F.col(id_col).alias("doc_id"), as_bytes(F.col(text_col)).alias("body")).mapInArrow(run, schema), "shingles")
-    return _with_components(marked.select("doc_id", "fp"), similar_links(marked))
+    numbered = docs.select("*", F.monotonically_increasing_id().alias(f"{prefix}row_id"), as_bytes(F.col(text_col)).alias(f"{prefix}body"))
+    return cut(numbered.mapInArrow(run, schema), "shingles")
 
 
-def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, without those that are near another of a smaller id: five-word shingles with a Jaccard similarity of SIMILAR or more, or a chain of such.
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", plan: BlockPlan | None = None) -> DataFrame:
+    """One row, all columns, of each group: five-word shingles with a Jaccard similarity of SIMILAR or more, or a chain of such.
 
-    Rows without an id stay. Of rows with equal ids and equal texts one stays.
+    The row of the smallest id stays, of rows with equal ids any one. Rows without an id all stay. Texts without words are one group.
     """
-    gone = similar_texts(docs, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias("__cf_gone")).distinct()
-    left = docs.join(gone, docs[id_col] == gone["__cf_gone"], "left_anti")
-    again = Window.partitionBy(id_col, "__cf_hash").orderBy("__cf_hash")
-    numbered = left.withColumn("__cf_hash", F.xxhash64(text_col)).withColumn("__cf_n", F.when(F.col(id_col).isNull(), 1).otherwise(F.row_number().over(again)))
-    return numbered.where("__cf_n = 1").drop("__cf_hash", "__cf_n")
+    plan = plan or block_plan(docs.count())
+    held = with_sketches(docs, plan, text_col)
+    marked = held.select(F.col(id_col).alias("id"), *(F.col(f"__cf_{c}").alias(c) for c in ("row_id", "fp", "sketch", "body")))
+    roots = connected_components(similar_links(marked, plan))
+    firsts = marked.where("id is not null").groupBy("fp").agg(F.min(F.struct("id", "row_id")).alias("first"))
+    of = firsts.join(roots, firsts.fp == roots.node, "left").select("first", F.coalesce("root", "fp").alias("root"))
+    keepers = cut(of.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row_id").alias("__cf_row_id")), "keepers")
+    return held.where(F.col(id_col).isNotNull()).join(keepers, "__cf_row_id", "left_semi").union(held.where(F.col(id_col).isNull()).select("__cf_row_id", *(c for c in held.columns if c != "__cf_row_id"))).select(*docs.columns)
