@@ -4,15 +4,16 @@ A naive Bayes classifier over the hashed distinct words of a document, learned f
 gives each document evidence for domains; only words that clearly tell domains apart count. A softmax
 regression on that evidence, fitted on labelled rows that the word counts did not see, gives posteriors. Document d has a nonnegative rate r(d), the expected number of its copies; the
 expected tokens of domain k are the sum of r(d) tokens(d) p(k | d). Projected gradient steps on the
-squared distance from the targets fit the rates: each step is one aggregation over all documents, whose
-K sums (K domains) go to the driver, and a new expression of the rates. The gradient is taken in the metric
-of the K x K moments of the posteriors, so that few steps do. A rate is at most `MOST`.
+squared distance from the targets fit the rates. A step is implicit: rates go along the gradient at the place where the
+step ends, and to zero where they would be negative, so a step may be very long and never overshoots. Its K multipliers
+(K domains) are the root of a convex function, found by Newton's method: each of its rounds is one aggregation over all documents, whose
+K sums and K x K moments go to the driver. Rates have no upper bound and every domain is steered.
 
-Training rows: at most about `per_domain` of each domain, chosen by a hash of the id; the model has
-`BUCKETS` rows. Everything else covers all documents.
+Training rows: at most about `per_domain` of each domain and `sample_rows` in all, chosen by a hash of the id; the model has
+`BUCKETS` rows. All domains count, however many. Everything else covers all documents.
 
-Defined results: a null text has no tokens and the posteriors of texts without evidence; rows with equal ids are fitted
-each; null labels are left out; targets that no rates meet (a domain without
+Defined results: a null text has no tokens and the posteriors of texts without evidence; texts of any length are split whole; equal
+texts get equal posteriors and rates, and rows with equal ids are fitted each; null labels are left out; targets that no rates meet (a domain without
 documents, posteriors that hardly differ) are met as far as they can be; without labels there is one domain, `all`; an empty table gives no rows.
 """
 
@@ -30,12 +31,8 @@ from cairnfield.llm.common import WORD_SPLIT, cut
 BUCKETS = 1 << 17
 #: Documents by which a word's counts are drawn to what is expected, and the least logarithm of a ratio that tells.
 SHRINK, TELLING = 5.0, 0.7
-#: No document is wanted more often than this.
-MOST = 2.0
-#: Least moment of posteriors that rates steer by, each domain's scaled to its tokens (the largest is then 1).
-STEERABLE = 0.02
-#: Rate expressions are written out after so many steps.
-STEPS_PER_CUT = 6
+#: Length of a step, against the largest moment of the posteriors, and number of steps.
+STEP, STEPS = 1e6, 3
 
 
 @dataclass(frozen=True)
@@ -61,11 +58,12 @@ def _number(parts: Column) -> Column:
     return F.size(parts) - (F.element_at(parts, 1) == "").cast("int") - ((F.size(parts) > 1) & (F.element_at(parts, -1) == "")).cast("int")
 
 
-def fit_domains(docs: DataFrame, labelled: DataFrame, per_domain: int = 4000, max_domains: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DomainModel:
-    """labelled: id and domain; at most max_domains domains, the largest."""
+def fit_domains(docs: DataFrame, labelled: DataFrame, per_domain: int = 4000, sample_rows: int = 32_000, id_col: str = "doc_id", text_col: str = "text") -> DomainModel:
+    """labelled: id and domain."""
     known = labelled.where(F.col("domain").isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), "domain")
-    sizes = {r["domain"]: r["n"] for r in known.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "domain").limit(max_domains).collect()}
+    sizes = {r["domain"]: r["n"] for r in known.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a domain
     domains = tuple(sorted(sizes))
+    per_domain = max(1, min(per_domain, sample_rows // max(1, len(domains))))
     if len(domains) < 2:
         return DomainModel(domains or ("all",), (1.0,), None)
     draw = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1 << 30))
@@ -95,29 +93,33 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, per_domain: int = 4000, ma
     return DomainModel(domains, tuple(share.tolist()), telling, factors)
 
 
-def _softmax(x: np.ndarray, y: np.ndarray, k: int, ridge: float = 1.0, rounds: int = 60) -> np.ndarray:
-    """Multinomial regression with a ridge, by Newton steps on all factors but the first domain's."""
+def _softmax(x: np.ndarray, y: np.ndarray, k: int, ridge: float = 1.0, rounds: int = 400) -> np.ndarray:
+    """Multinomial regression with a ridge.
+
+    Steps in a fixed metric that bounds the curvature from above (half the moments of x, whatever the domains), with
+    Nesterov's momentum: one matrix as wide as x however many domains there are.
+    """
     n, m = x.shape
     w = np.zeros((k, m))
     pull = np.full(m, ridge)
     pull[-1] = 1e-3
     hot = np.eye(k)[y] if n else np.zeros((0, k))
+    bound = np.linalg.inv(x.T @ x / 2 + np.diag(pull))
+    ahead, t = w, 1.0
     for _ in range(rounds):
-        z = x @ w.T
+        z = x @ ahead.T
         p = np.exp(z - z.max(1, keepdims=True)) if n else np.zeros((0, k))
         p /= np.maximum(p.sum(1, keepdims=True), 1e-300)
-        slope = ((p - hot).T @ x + pull * w)[1:].ravel()
-        size = (k - 1) * m
-        curve = np.zeros((size, size))
-        for i in range(1, k):
-            for j in range(1, k):
-                weight = p[:, i] * ((i == j) - p[:, j])
-                curve[(i - 1) * m : i * m, (j - 1) * m : j * m] = (x * weight[:, None]).T @ x
-        step = np.linalg.solve(curve + np.diag(np.tile(pull, k - 1)), slope)
-        w[1:] -= step.reshape(k - 1, m)
-        if np.abs(step).max() < 1e-7:
+        slope = (p - hot).T @ x + pull * ahead
+        new = ahead - slope @ bound
+        if ((ahead - new) * (new - w)).sum() > 0:  # momentum leads astray: begin it anew
+            t = 1.0
+        grown = (1 + math.sqrt(1 + 4 * t * t)) / 2
+        moved = np.abs(new - w).max()
+        ahead, w, t = new + (t - 1) / grown * (new - w), new, grown
+        if moved < 1e-7:
             break
-    return w
+    return w - w[0]
 
 
 def _evidence(parts: DataFrame, words: DataFrame, k: int) -> DataFrame:
@@ -146,33 +148,58 @@ def posteriors(docs: DataFrame, model: DomainModel, id_col: str = "doc_id", text
     return cut(scaled.select(*keys, *((F.col(f"e{i}") / total).alias(f"p{i}") for i in k)), "posteriors")
 
 
-def fit_rates(members: DataFrame, targets: list[float], start: float, most: float = MOST, steps: int = 40, tolerance: float = 1e-4) -> DataFrame:
-    """members with `rate`, from 0 to most; members: n_tokens and p0, p1, ... of each document, as written out; targets: tokens of each domain.
+def fit_rates(members: DataFrame, targets: list[float], start: float, rounds: int = 40, tolerance: float = 1e-4) -> DataFrame:
+    """members with `rate`, zero or more; members: n_tokens and p0, p1, ... of each document, as written out; targets: tokens of each domain.
 
-    start: the rate that every document has before the first step; rates stay near it where targets allow. In the
-    metric of the moments of all documents a whole step never overshoots. Combinations of domains in which the
-    posteriors hardly differ are left alone: those of a moment under STEERABLE, scaled to the domains' tokens, so that
-    a domain's size does not matter. Steps end when every target is met to `tolerance` of it, or nothing moves.
+    start: the rate that every document has before the first step; rates stay near it where targets allow. Steps end
+    when every target is met to `tolerance` of it; targets out of reach are met as far as least squares go.
     """
     k = range(len(targets))
     goal = np.array(targets, float)
-    found = members.agg(*(F.coalesce(F.sum(F.col("n_tokens") * F.col(f"p{i}") * F.col(f"p{j}")), F.lit(0.0)).alias(f"m{i}_{j}") for i in k for j in k if j >= i)).first()
-    moments = np.array([[found[f"m{min(i, j)}_{max(i, j)}"] for j in k] for i in k])
-    scale = moments.sum(1)  # tokens of each domain, as posteriors sum to one
-    scale = np.divide(1.0, np.sqrt(scale), out=np.zeros_like(scale), where=scale > 0)
-    inverse = np.linalg.pinv(moments * np.outer(scale, scale), rcond=STEERABLE, hermitian=True) * np.outer(scale, scale)
+
+    def moved(rated: DataFrame, move: np.ndarray) -> DataFrame:
+        slope = sum((F.col(f"p{i}") * float(move[i]) for i in k[1:]), F.col("p0") * float(move[0]))
+        return rated.withColumn("rate", F.greatest(F.lit(0.0), F.col("rate") - slope))
+
+    def measured(rated: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
+        """(distance of each domain's tokens from its target; moments of the posteriors where the rate is not zero; half the squared rates)."""
+        tokens, live = F.col("n_tokens") * F.col("rate"), F.when(F.col("rate") > 0, F.col("n_tokens"))
+        sums = [F.sum(tokens * F.col(f"p{i}")) for i in k] + [F.sum(live * F.col(f"p{i}") * F.col(f"p{j}")) for i in k for j in k if j >= i]
+        got = iter(rated.agg(F.coalesce(F.sum(tokens * F.col("rate")), F.lit(0.0)).alias("b"), *(F.coalesce(s, F.lit(0.0)).alias(f"a{n}") for n, s in enumerate(sums))).first())
+        half = next(got) / 2
+        gap = np.array([next(got) for _ in k]) - goal
+        moments = np.zeros((len(goal), len(goal)))
+        for i in k:
+            for j in k[i:]:
+                moments[i, j] = moments[j, i] = next(got)
+        return gap, moments, half
+
     rated = members.withColumn("rate", F.lit(float(start)))
-    for step in range(1, steps + 1):
-        tokens = F.col("n_tokens") * F.col("rate")
-        sums = rated.agg(*(F.coalesce(F.sum(tokens * F.col(f"p{i}")), F.lit(0.0)) for i in k)).first()
-        gap = np.array(list(sums)) - goal
-        move = inverse @ gap
-        if (np.abs(gap) <= tolerance * goal).all() or np.abs(move).max() <= tolerance * 1e-3:
+    gap, moments, half = measured(rated)
+    stiff = max(float(np.linalg.eigvalsh(moments).max()), 1e-9) / STEP
+    for _ in range(STEPS):
+        if (np.abs(gap) <= tolerance * goal).all():
+            break
+        move, value, before = np.zeros(len(goal)), half, gap
+        for _ in range(rounds):
+            slope = stiff * move - gap  # of the convex function half + move . goal + stiff / 2 |move|^2
+            if np.abs(slope).max() <= 0.1 * tolerance * max(float(goal.min()), 1e-3 * float(goal.max())):
+                break
+            newton = -np.linalg.solve(moments + stiff * np.eye(len(goal)), slope)
+            part = 1.0
+            while part > 1e-6:
+                tried = move + part * newton
+                new_gap, new_moments, new_half = measured(moved(rated, tried))
+                new_value = new_half + float(tried @ goal) + stiff / 2 * float(tried @ tried)
+                if new_value <= value + 1e-4 * part * float(newton @ slope) + 1e-12 * abs(value):
+                    break
+                part /= 4
+            else:
+                break
+            move, gap, moments, value, half = tried, new_gap, new_moments, new_value, new_half
+        rated = moved(rated, move)
+        if np.linalg.norm(gap) > 0.999 * np.linalg.norm(before):
             break
-        slope = sum((F.col(f"p{i}") * float(move[i]) for i in k[1:]), F.col("p0") * float(move[0]))
-        rated = rated.withColumn("rate", F.least(F.lit(float(most)), F.greatest(F.lit(0.0), F.col("rate") - slope)))
-        if step % STEPS_PER_CUT == 0:
-            rated = cut(rated, "rates")
     return rated
 
 
@@ -181,10 +208,11 @@ def copies(rate: Column, *keys: Column) -> Column:
     return F.floor(rate + F.pmod(F.xxhash64(*keys, F.lit("copies")), F.lit(1 << 30)) / float(1 << 30)).cast("int")
 
 
-def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DomainModel]:
+def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], budget: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DomainModel]:
     """Rates of all documents for domain weights.
 
-    The budget is the largest number of tokens for which no weighted domain needs more than it has.
+    budget: expected tokens of the mix; by default so many that the domain of the largest weight (of equal ones the larger) is used once.
+    Other domains are thinned or repeated, so one that the corpus hardly holds does not take the mix with it.
     """
     model = fit_domains(docs, labelled, id_col=id_col, text_col=text_col)
     members = posteriors(docs, model, id_col, text_col)
@@ -193,7 +221,9 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], id_col:
     if not wanted.sum():
         wanted = np.ones(len(model.domains))
     wanted = wanted / wanted.sum()
-    budget = min(h / w for h, w in zip(have, wanted, strict=True) if w > 0)
+    if budget is None:
+        weight, tokens = max(((w, h) for w, h in zip(wanted, have, strict=True) if w and h), default=(1.0, 0.0))
+        budget = tokens / weight
     whole = sum(have)
     rated = fit_rates(members, [float(budget * w) for w in wanted], budget / whole if whole else 1.0)
     return rated, model
