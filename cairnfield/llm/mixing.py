@@ -33,6 +33,9 @@ BUCKETS = 1 << 17
 SHRINK, TELLING = 5.0, 0.7
 #: Length of a step, against the largest moment of the posteriors, and number of steps.
 STEP, STEPS = 1e6, 3
+#: The same where documents are kept or dropped by the rates: a short step stays nearer to the start, so that a
+#: target out of reach (a weak classifier, few labels) does not leave a few documents alone with all the weight.
+SHORT = {"step": 100.0, "steps": 1}
 
 
 @dataclass(frozen=True)
@@ -148,11 +151,12 @@ def posteriors(docs: DataFrame, model: DomainModel, id_col: str = "doc_id", text
     return cut(scaled.select(*keys, *((F.col(f"e{i}") / total).alias(f"p{i}") for i in k)), "posteriors")
 
 
-def fit_rates(members: DataFrame, targets: list[float], start: float, rounds: int = 40, tolerance: float = 1e-4) -> DataFrame:
+def fit_rates(members: DataFrame, targets: list[float], start: float, step: float = STEP, steps: int = STEPS, rounds: int = 40, tolerance: float = 1e-4) -> DataFrame:
     """members with `rate`, zero or more; members: n_tokens and p0, p1, ... of each document, as written out; targets: tokens of each domain.
 
     start: the rate that every document has before the first step; rates stay near it where targets allow. Steps end
-    when every target is met to `tolerance` of it; targets out of reach are met as far as least squares go.
+    when every target is met to `tolerance` of it; targets out of reach are met as far as least squares go. A shorter
+    `step` weighs the distance from the targets against that from the start.
     """
     k = range(len(targets))
     goal = np.array(targets, float)
@@ -176,8 +180,8 @@ def fit_rates(members: DataFrame, targets: list[float], start: float, rounds: in
 
     rated = members.withColumn("rate", F.lit(float(start)))
     gap, moments, half = measured(rated)
-    stiff = max(float(np.linalg.eigvalsh(moments).max()), 1e-9) / STEP
-    for _ in range(STEPS):
+    stiff = max(float(np.linalg.eigvalsh(moments).max()), 1e-9) / step
+    for _ in range(steps):
         if (np.abs(gap) <= tolerance * goal).all():
             break
         move, value, before = np.zeros(len(goal)), half, gap
@@ -208,10 +212,10 @@ def copies(rate: Column, *keys: Column) -> Column:
     return F.floor(rate + F.pmod(F.xxhash64(*keys, F.lit("copies")), F.lit(1 << 30)) / float(1 << 30)).cast("int")
 
 
-def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], budget: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DomainModel]:
+def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], budget: float | None = None, id_col: str = "doc_id", text_col: str = "text", **fitting: float) -> tuple[DataFrame, DomainModel]:
     """Rates of all documents for domain weights.
 
-    budget: expected tokens of the mix; by default so many that the domain of the largest weight (of equal ones the larger) is used once.
+    fitting: parameters of fit_rates. budget: expected tokens of the mix; by default so many that the domain of the largest weight (of equal ones the larger) is used once.
     Other domains are thinned or repeated, so one that the corpus hardly holds does not take the mix with it.
     """
     model = fit_domains(docs, labelled, id_col=id_col, text_col=text_col)
@@ -225,7 +229,7 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], budget:
         weight, tokens = max(((w, h) for w, h in zip(wanted, have, strict=True) if w and h), default=(1.0, 0.0))
         budget = tokens / weight
     whole = sum(have)
-    rated = fit_rates(members, [float(budget * w) for w in wanted], budget / whole if whole else 1.0)
+    rated = fit_rates(members, [float(budget * w) for w in wanted], budget / whole if whole else 1.0, **fitting)
     return rated, model
 
 
@@ -247,7 +251,7 @@ def document_rates(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def mixed_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs, all columns, each as often as its copies say; rows with equal ids and texts follow the first of them."""
-    rated, _ = mix(docs, label_domains(labels), WEIGHTS)
+    rated, _ = mix(docs, label_domains(labels), WEIGHTS, **SHORT)
     often = rated.groupBy("doc_id", "text_hash").agg(F.max("rate").alias("rate"))
     often = often.select(F.col("doc_id").alias("__cf_id"), F.col("text_hash").alias("__cf_hash"), copies(F.col("rate"), F.col("doc_id"), F.col("text_hash")).alias("__cf_copies")).where("__cf_copies > 0")
     found = docs.withColumn("__cf_own", F.xxhash64("text")).join(often, F.col("doc_id").eqNullSafe(F.col("__cf_id")) & (F.col("__cf_own") == F.col("__cf_hash")))
