@@ -5,11 +5,12 @@ to length one. Each language has several centroids, found by spherical k-means;
 language of the centroid with the largest cosine, and is rejected where even that cosine is far under
 what training texts of its length reach.
 
-Training rows: at most about `per_language` of each language and `max_languages` languages, chosen by
-a hash of the id; prediction reads every whole text.
+Training rows: at most about `per_language` of each language, chosen by a hash of the id, of all languages
+there are; each language's centroids are found by a task of its own. Prediction reads every whole text.
 
-Defined results: a null text, or one without a letter, is `und` with score 0 and rejected; without any
-training row every text is `und`; repeated rows are all predicted; an empty table gives no rows.
+Defined results: a null text, or one without a letter (digits of any script are none), is `und` with score 0 and rejected; without any
+training row every text is `und`; of languages at equal cosines the first by name counts; texts of any length are
+read whole; repeated rows are all predicted; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,15 +20,17 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cairnfield.llm.common import as_bytes, crc_mod
+from cairnfield.llm.common import as_bytes, crc_mod, cut
 
 BITS = 13
-_LETTER = re.compile(r"[^\W\d_]")
+#: What may be a letter; numerals such as fractions are among them.
+_WORDLIKE = re.compile(r"[^\W\d_]")
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 #: Odd multipliers of the three n-gram hashes.
 _ODD = np.array([2654435761, 2246822519, 3266489917], np.uint32)
@@ -35,6 +38,10 @@ _ODD = np.array([2654435761, 2246822519, 3266489917], np.uint32)
 _SHARPNESS = 25.0
 
 
+def has_letter(text: str) -> bool:
+    return any(m[0].isalpha() for m in _WORDLIKE.finditer(text))
+
+
 def ngram_counts(text: bytes) -> np.ndarray:
     """Counts of the hashed n-grams of a whole text, 2**BITS long."""
     folded = b" ".join((b" " + text.translate(_FOLD) + b" ").split())
@@ -48,7 +55,7 @@ def ngram_counts(text: bytes) -> np.ndarray:
 
 @dataclass(frozen=True)
 class CentroidModel:
-    """languages[k] owns the rows of centroids where owner == k; floors: lowest accepted cosine by log2 of the length."""
+    """languages[k] owns the rows of centroids where owner == k (ascending); floors: lowest accepted cosine by log2 of the length."""
 
     languages: tuple[str, ...]
     idf: np.ndarray
@@ -63,12 +70,13 @@ class CentroidModel:
     def predict(self, texts: list[bytes]) -> tuple[list[str], list[float], list[float], list[bool]]:
         """Language, score, cosine and rejection of each text."""
         out: tuple[list[str], list[float], list[float], list[bool]] = ([], [], [], [])
+        starts = np.searchsorted(self.owner, np.arange(len(self.languages)))
         for text in texts:
-            if not self.languages or not _LETTER.search(text.decode("utf-8", "replace")):
+            if not self.languages or not has_letter(text.decode("utf-8", "replace")):
                 row = ("und", 0.0, 0.0, True)
             else:
                 cosines = self.centroids @ self.vector(text)
-                best = np.array([cosines[self.owner == k].max() for k in range(len(self.languages))])
+                best = np.maximum.reduceat(cosines, starts)
                 k = int(best.argmax())
                 top = float(best[k])
                 row = (self.languages[k], float(1 / np.exp(_SHARPNESS * (best - top)).sum()), top, top < self.floors[len(text).bit_length()])
@@ -105,18 +113,21 @@ def _floors(lengths: np.ndarray, cosines: np.ndarray, slack: float) -> np.ndarra
     return floors
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", clusters: int = 4, per_language: int = 500, max_languages: int = 200, slack: float = 0.5) -> CentroidModel:
+def _unpacked(at: list[bytes], n: list[bytes], idf: np.ndarray) -> np.ndarray:
+    """Unit vectors of texts whose counts are given as places and numbers."""
+    rows = np.zeros((len(at), len(idf)), np.float32)
+    for row, places, counts in zip(rows, at, n, strict=True):
+        row[np.frombuffer(places, np.uint16)] = np.log1p(np.frombuffer(counts, np.uint32))
+    rows *= idf
+    return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
+
+
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", clusters: int = 4, per_language: int = 500, slack: float = 0.5) -> CentroidModel:
     """Learns from the rows of docs whose language is not null; the caller leaves out what must not be seen."""
+    spark, size = docs.sparkSession, 1 << BITS
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).alias("lang"), as_bytes(F.col(text_col)).alias("body"))
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()}
-    languages = sorted(counts)
-    size = 1 << BITS
-    if not languages:
-        return CentroidModel((), np.zeros(size, np.float32), np.zeros((0, size), np.float32), np.zeros(0, np.int64), np.zeros(64))
-    draw = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
-    wanted = F.lit(False)
-    for lang in languages:
-        wanted = wanted | ((F.col("lang") == lang) & (draw < int((1 << 30) * min(1.0, per_language / counts[lang]))))
+    rates = known.groupBy("lang").agg((F.lit(float(1 << 30)) * F.least(F.lit(1.0), per_language / F.count(F.lit(1)))).alias("most"))
+    chosen = known.join(F.broadcast(rates), "lang").where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < F.col("most"))  # a row a language
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,21 +139,41 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                     column.append(value)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.binary()), pa.array(rows[2], pa.binary())], names=["lang", "length", "at", "n"])
 
-    got = known.where(wanted).select("lang", "body").mapInArrow(vectors, "lang string, length long, at binary, n binary").limit(2 * per_language * len(languages)).collect()
-    tf = np.zeros((len(got), size), np.float32)
-    for row, r in zip(tf, got, strict=True):
-        row[np.frombuffer(r["at"], np.uint16)] = np.log1p(np.frombuffer(r["n"], np.uint32))
-    idf = (np.log((1 + len(got)) / (1 + (tf > 0).sum(0))) + 0.1).astype(np.float32)
-    tf *= idf
-    tf /= np.maximum(np.linalg.norm(tf, axis=1, keepdims=True), 1e-12)
-    labels = np.array([languages.index(r["lang"]) for r in got])
-    parts = [_clusters(tf[labels == k], clusters) for k in range(len(languages)) if (labels == k).any()]
-    owner = np.concatenate([[k] * len(c) for k, c in zip([k for k in range(len(languages)) if (labels == k).any()], parts, strict=True)]).astype(np.int64)
-    present = sorted(set(owner.tolist()))
-    owner = np.searchsorted(present, owner)
-    centroids = np.concatenate(parts).astype(np.float32)
-    floors = _floors(np.array([r["length"] for r in got]), (tf @ centroids.T).max(1), slack)
-    return CentroidModel(tuple(languages[k] for k in present), idf, centroids, owner, floors)
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, counts = 0, np.zeros(size, np.int64)
+        for batch in batches:
+            texts += batch.num_rows
+            for places in batch.column(0).to_pylist():
+                counts[np.frombuffer(places, np.uint16)] += 1
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, size)), pa.array(np.append(texts, counts))], names=["gram", "n"])
+
+    sample = cut(chosen.select("lang", "body").mapInArrow(vectors, "lang string, length long, at binary, n binary"), "language-sample")
+    found = dict(sample.select("at").mapInArrow(held, "gram long, n long").groupBy("gram").agg(F.sum("n")).collect())  # a row an n-gram
+    if not found.get(-1):
+        return CentroidModel((), np.zeros(size, np.float32), np.zeros((0, size), np.float32), np.zeros(0, np.int64), np.zeros(64))
+    idf = (np.log((1 + found[-1]) / (1 + np.array([found[k] for k in range(size)]))) + 0.1).astype(np.float32)
+
+    def centers(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["at", "n"])  # whatever order they came in
+        c = _clusters(_unpacked(rows["at"].tolist(), rows["n"].tolist(), idf), clusters)
+        return pd.DataFrame({"lang": rows["lang"].iloc[0], "number": range(len(c)), "center": [v.astype(np.float32).tobytes() for v in c]})
+
+    got = sorted(sample.groupBy("lang").applyInPandas(centers, "lang string, number int, center binary").collect(), key=lambda r: (r["lang"], r["number"]))  # a few rows a language
+    languages = sorted({r["lang"] for r in got})
+    owner = np.searchsorted(languages, [r["lang"] for r in got])
+    centroids = np.stack([np.frombuffer(r["center"], np.float32) for r in got])
+    shared = spark.sparkContext.broadcast((idf, centroids))  # languages x clusters x 2**BITS floats, whatever the data
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        idf, centroids = shared.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                cosines = (_unpacked(part.column(1).to_pylist(), part.column(2).to_pylist(), idf) @ centroids.T).max(1)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(cosines.astype(np.float64))], names=["length", "cosine"])
+
+    reached = sample.select("length", "at", "n").mapInArrow(nearest, "length long, cosine double").toArrow()  # two numbers a training row
+    return CentroidModel(tuple(languages), idf, centroids, owner, _floors(reached["length"].to_numpy(), reached["cosine"].to_numpy(), slack))
 
 
 def predict(docs: DataFrame, model: CentroidModel, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", prefix: str = "") -> DataFrame:

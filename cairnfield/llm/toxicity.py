@@ -6,15 +6,18 @@ exception phrases do not count. The score is a logistic function of the summed w
 share of the text's words.
 
 The lexicon, its weights, the exceptions and the function are learned from labelled rows: at most
-about `per_label` of each label, chosen by a hash of the id. Every whole text is scored.
+about `per_label` of each label, chosen by a hash of the id. Every entry and every exception that these
+rows show is used. Every whole text is scored.
 
-Defined results: null and empty texts have no hits and get the score of such texts; null labels are
-left out; without both labels among the training rows every score is 0; repeated rows are all scored;
+Defined results: null and empty texts have no hits and get the score of such texts; texts of any length are
+scored whole, in time that grows with the length alone; of hits that begin at one place the heaviest counts, at equal
+weights the first to end; null labels are left out; without both labels among the training rows every score is 0; repeated rows are all scored;
 an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import bisect
 import math
 import unicodedata
 from collections import Counter
@@ -28,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cairnfield.llm.common import crc_mod
+from cairnfield.llm.common import crc_mod, cut
 
 # Signs and letters of other scripts that look like a Latin letter.
 LOOKALIKES = {
@@ -95,7 +98,12 @@ def hits(folded: str, automaton: ahocorasick.Automaton) -> list[tuple[int, int,
     for last, (length, weight, entry) in automaton.iter(folded):
         (spans if entry else excepted).append((last + 1 - length, last + 1, weight, entry))
     if excepted:
-        spans = [s for s in spans if not any(b <= s[0] and s[1] <= e for b, e, _, _ in excepted)]
+        begins, reach, farthest = [], [], 0
+        for b, e, _, _ in sorted(excepted):
+            farthest = max(farthest, e)
+            begins.append(b)
+            reach.append(farthest)  # of the exceptions that begin here or before, the last end
+        spans = [s for s in spans if not (k := bisect.bisect_right(begins, s[0])) or reach[k - 1] < s[1]]
     best: dict[int, tuple[int, int, float, str]] = {}
     for span in spans:
         if span[0] not in best or span[2] > best[span[0]][2]:
@@ -133,7 +141,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float,
     return tuple(w.tolist())
 
 
-def _select(rows: list, toxic: int, clean: int, min_docs: int, min_weight: float, most: int) -> dict[str, float]:
+def _select(rows: list, toxic: int, clean: int, min_docs: int, min_weight: float) -> dict[str, float]:
     """Entries with weights: a beginning stands for its words unless one of them makes up nearly all of it."""
     scored = {}
     for r in rows:
@@ -156,10 +164,10 @@ def _select(rows: list, toxic: int, clean: int, min_docs: int, min_weight: float
             if n < len(term):
                 best[term[:n]] = max(best.get(term[:n], 0.0), weight)
     out = {t: w for t, w in out.items() if len(t) >= SHORT or best.get(t, 0.0) <= w + 1}
-    return dict(sorted(out.items(), key=lambda kv: (-kv[1], kv[0]))[:most])
+    return dict(sorted(out.items(), key=lambda kv: (-kv[1], kv[0])))
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_label: int = 4000, min_docs: int = 8, min_weight: float = 1.2, max_entries: int = 5000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, per_label: int = 4000, min_docs: int = 8, min_weight: float = 1.2, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
     """Learns from docs joined with the rows of labels; the caller leaves out labels that must not be seen."""
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
     sizes = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -185,13 +193,14 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = 4000, min_docs: int
         names = list(every)
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([toxic[w] for w in names], pa.int64()), pa.array([every[w] for w in names], pa.int64())], names=["term", "t", "n"])
 
-    counts = sample.mapInArrow(count_terms, "term string, t long, n long").groupBy("term").agg(F.sum("t").alias("t"), F.sum("n").alias("n"))
-    lift = F.log((F.col("t") + 0.5) / (F.col("n") - F.col("t") + 0.5))
-    rows = counts.where((F.col("term") == "") | (F.col("t") >= min_docs)).orderBy(F.col("term") != "", F.desc(lift), "term").limit(20 * max_entries).collect()
-    whole = next((r for r in rows if r["term"] == ""), None)
+    counts = cut(sample.mapInArrow(count_terms, "term string, t long, n long").groupBy("term").agg(F.sum("t").alias("t"), F.sum("n").alias("n")), "terms")
+    whole = counts.where("term = ''").first()
     if whole is None or not 0 < whole["t"] < whole["n"]:
         return ToxicityModel({}, (), ())
-    weights = _select([r for r in rows if r["term"]], whole["t"], whole["n"] - whole["t"], min_docs, min_weight, max_entries)
+    toxic, clean = whole["t"], whole["n"] - whole["t"]
+    weight = F.log((F.col("t") + 0.5) / (toxic + 1)) - F.log((F.col("n") - F.col("t") + 1.5) / (clean + 3))
+    telling = counts.where((F.col("term") != "") & (F.col("t") >= min_docs) & (weight >= min_weight - 1e-6))
+    weights = _select(telling.collect(), toxic, clean, min_docs, min_weight)  # terms of the bounded sample that tell
     plain = ToxicityModel(weights, (), ())
 
     def phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,7 +220,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = 4000, min_docs: int
         yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.string()), pa.array([k for _, k in found], pa.int64()), pa.array(list(found.values()), pa.int64())], names=["phrase", "label", "n"])
 
     said = sample.mapInArrow(phrases, "phrase string, label long, n long").groupBy("phrase").agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("c"))
-    exceptions = tuple(r["phrase"] for r in said.where((F.col("c") >= min_docs) & (F.col("t") * 10 <= F.col("c"))).orderBy(F.desc("c"), "phrase").limit(max_entries).collect())
+    exceptions = tuple(r["phrase"] for r in said.where((F.col("c") >= min_docs) & (F.col("t") * 10 <= F.col("c"))).orderBy(F.desc("c"), "phrase").collect())  # of the sample
     model = ToxicityModel(weights, exceptions, ())
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,7 +242,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = 4000, min_docs: int
 def score(docs: DataFrame, model: ToxicityModel, keep: tuple[str, ...] = ("doc_id",), threshold: float = 0.3, text_col: str = "text") -> DataFrame:
     """The columns of keep, then score, predicted and n_hits, for every row."""
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("lexicon_weight", T.DoubleType())])
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most max_entries entries and exceptions
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # what the bounded sample of labelled rows showed
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
