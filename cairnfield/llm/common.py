@@ -10,7 +10,10 @@ Conventions that hold for every operator in this subpackage:
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import re
+import shutil
 import tempfile
 import uuid
 
@@ -27,13 +30,16 @@ _LOCAL: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none."""
+    """The folder that driver and executors share; a machine's own one only where that machine is all there is."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL:
         _LOCAL[app] = tempfile.mkdtemp(prefix="cairnfield-")
+        atexit.register(shutil.rmtree, _LOCAL[app], ignore_errors=True)
     return _LOCAL[app]
 
 
@@ -42,10 +48,18 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{re.sub(r'[^A-Za-z0-9_-]', '_', label)}-{uuid.uuid4().hex[:12]}"
 
 
+def _discard(jvm, path: str) -> None:
+    """Removes a folder of the shared file system; at the end of the driver, when the file system may be gone already."""
+    with contextlib.suppress(Exception):
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(place, True)
+
+
 def cut(df: DataFrame, label: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back: the lineage ends there, and a lost executor loses nothing."""
+    """Writes df as Parquet in the shared folder and reads it back: the lineage ends there, and a lost executor loses nothing. The files go when the driver ends."""
     spark = df.sparkSession
     path = new_path(spark, label)
+    atexit.register(_discard, spark._jvm, path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

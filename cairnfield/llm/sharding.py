@@ -5,18 +5,18 @@ a slot belongs to; it is small (one row per slot), versioned and stored, and reb
 edits the map, so that only the records of reassigned slots move.
 
 Defined results: a null id hashes like an empty text; a null text has size 8 (no bytes) and the
-checksum of nothing; rows with equal ids share a slot and shard and are ordered by checksum and size;
-an empty table gives no rows.
+checksum of nothing; rows with equal ids share a slot and shard and are ordered by checksum and size, equal rows in
+any order; however many rows share an id, several tasks number them; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnfield.llm.common import cut
+from cairnfield.llm.common import cut, new_path
 
 VIRTUAL_SLOTS = 8192
 #: Bytes that a record takes besides its text.
@@ -88,15 +88,26 @@ class SlotMap:
         return spark.createDataFrame([(self.version, s, o) for s, o in enumerate(self.owners)], "map_version int, virtual_slot int, shard int")
 
     def save(self, spark: SparkSession, path: str) -> None:
-        """Adds this version beside the earlier ones."""
-        self.frame(spark).coalesce(1).write.mode("overwrite").parquet(f"{path}/version-{self.version:06d}")
+        """Adds this version beside the earlier ones; a version that is there already is an error."""
+        self.frame(spark).coalesce(1).write.mode("error").parquet(f"{path}/version={self.version}")
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str, version: int) -> SlotMap:
-        rows = spark.read.parquet(f"{path}/version-{version:06d}").orderBy("virtual_slot").collect()
+    def load(cls, spark: SparkSession, path: str, version: int | None = None) -> SlotMap:
+        """The version asked for, or the last."""
+        if version is None:
+            version = spark.read.parquet(path).agg(F.max("map_version")).first()[0]
+        rows = spark.read.parquet(f"{path}/version={version}").orderBy("virtual_slot").collect()  # a row a slot
         return cls(tuple(r.shard for r in rows), version)
 
 
+def rebalance(spark: SparkSession, path: str, records: DataFrame, tolerance: float = 0.02) -> SlotMap:
+    """Edits the last stored map by the bytes that records (`sized`) have in each slot, and stores the next version."""
+    held = {r["virtual_slot"]: r["slot_bytes"] for r in slot_stats(records).collect()}  # a row a slot
+    edited = SlotMap.load(spark, path).rebalanced(held, tolerance)
+    edited.save(spark, path)
+    return edited
+
+
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots: int = VIRTUAL_SLOTS) -> DataFrame:
     """id, size in bytes, checksum of the text and virtual slot of every record; the text is read once."""
     body = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
@@ -105,6 +116,7 @@ def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots
         (F.octet_length(body) + RECORD_OVERHEAD).cast("long").alias("size"),
         F.crc32(body).alias("text_crc32"),
         virtual_slot(F.col(id_col), slots).alias("virtual_slot"),
+        F.monotonically_increasing_id().alias("row_id"),
     )
 
 
@@ -114,33 +126,42 @@ def slot_stats(records: DataFrame) -> DataFrame:
 
 
 def assign(records: DataFrame, slot_map: SlotMap) -> DataFrame:
-    """Adds shard and the gapless position in the shard (`slot`, from 0).
+    """Adds shard and the gapless position in the shard (`slot`, from 0); records: as written out.
 
-    Positions come from a row number inside each virtual slot plus the rows of the shard's earlier
-    virtual slots; the second part is a table of one row per virtual slot, so it is small at any size.
+    Records are range-partitioned by shard, virtual slot, id, checksum, size and row, so that no key, however
+    frequent, is one task's, and numbered inside each partition; one row a partition and one a shard say where
+    numbers start.
     """
     spark = records.sparkSession
-    earlier = Window.partitionBy("shard").orderBy("virtual_slot").rowsBetween(Window.unboundedPreceding, -1)
-    owners = (
-        slot_map.frame(spark)
-        .join(slot_stats(records), "virtual_slot")
-        .withColumn("before", F.coalesce(F.sum("slot_rows").over(earlier), F.lit(0)))
-        .select("virtual_slot", "shard", "before", "slot_bytes")
-    )
-    inside = Window.partitionBy("virtual_slot").orderBy(F.col("doc_id").asc_nulls_first(), "text_crc32", "size")
-    numbered = records.withColumn("row", F.row_number().over(inside))
-    return numbered.join(F.broadcast(owners), "virtual_slot").withColumn("slot", (F.col("before") + F.col("row") - 1).cast("long"))
-
-
-def shard_documents(docs: DataFrame, shards: int = 24, slots: int = VIRTUAL_SLOTS) -> DataFrame:
+    owners = slot_map.frame(spark).select("virtual_slot", "shard").join(slot_stats(records).select("virtual_slot", "slot_bytes"), "virtual_slot")
+    order = ("shard", "virtual_slot", "doc_id", "text_crc32", "size", "row_id")
+    ranged = records.join(F.broadcast(owners), "virtual_slot").repartitionByRange(*order).sortWithinPartitions(*order)  # a row a slot
+    held = cut(ranged.withColumn("at", F.monotonically_increasing_id()), "ranged")
+    part = F.shiftrightunsigned("at", 33)
+    sizes = held.groupBy(part.alias("part"), "shard").agg(F.count(F.lit(1)).alias("n")).collect()  # a row a partition, and one more a shard at most
+    begins, shards, total = {}, {}, 0
+    for r in sorted(sizes):
+        begins.setdefault(r["part"], total)
+        shards.setdefault(r["shard"], total)
+        total += r["n"]
+    starts = spark.createDataFrame([(p, n) for p, n in begins.items()], "part long, begins long")
+    firsts = spark.createDataFrame([(s, n) for s, n in shards.items()], "shard int, first long")
+    placed = held.withColumn("part", part).join(F.broadcast(starts), "part").join(F.broadcast(firsts), "shard")
+    return placed.withColumn("slot", F.col("begins") + F.col("at").bitwiseAND((1 << 33) - 1) - F.col("first"))
+
+
+def shard_documents(docs: DataFrame, shards: int = 24, slots: int = VIRTUAL_SLOTS, map_path: str | None = None) -> DataFrame:
     """The shard of every record by law `key`: its id and the number of shards decide.
 
-    Also gives the shard after adding one (`grown_shard`): a record stays or goes to the new shard.
+    Also gives the shard after adding one (`grown_shard`): a record stays or goes to the new shard. The slot map and
+    its edit are stored as versions 1 and 2 under map_path (by default a new folder in the shared one) and read from there.
     """
     spark = docs.sparkSession
-    first = SlotMap.even(shards, slots)
-    second = first.grown()
-    grown = second.frame(spark).select("virtual_slot", F.col("shard").alias("grown_shard"))
+    path = map_path or new_path(spark, "slot-map")
+    SlotMap.even(shards, slots).save(spark, path)
+    first = SlotMap.load(spark, path, 1)
+    first.grown().save(spark, path)
+    grown = SlotMap.load(spark, path, 2).frame(spark).select("virtual_slot", F.col("shard").alias("grown_shard"))
     records = cut(sized(docs, slots=slots), "sharding")
     return (
         assign(records, first)

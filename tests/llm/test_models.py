@@ -103,3 +103,24 @@ def test_every_telling_word_is_an_entry(spark):
     model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"), min_docs=5)
     automaton = model.automaton()
     assert all(toxicity.features(text, automaton)[2] == bool(k % 2) for k, text in rows)
+
+
+def test_one_id_with_most_rows(spark, tmp_path):
+    from cairnfield.llm import sharding
+
+    df = spark.range(3000).selectExpr("if(id % 3 = 0, null, if(id % 3 = 1, 7, id)) as doc_id", "if(id % 2 = 0, 'same', concat('t', id)) as text")
+    path = str(tmp_path / "map")
+    got = sharding.shard_documents(df, map_path=path).collect()
+    by_shard: dict[int, list] = {}
+    for r in sorted(got, key=lambda r: (r.shard, r.slot)):
+        by_shard.setdefault(r.shard, []).append(r)
+    for rows in by_shard.values():
+        assert [r.slot for r in rows] == list(range(len(rows)))
+        keys = [(r.virtual_slot, r.doc_id is not None, r.doc_id or 0, r.text_crc32, r["size"]) for r in rows]
+        assert keys == sorted(keys)
+    first, grown = sharding.SlotMap.load(spark, path, 1), sharding.SlotMap.load(spark, path)
+    assert (first.version, grown.version, grown.owners) == (1, 2, first.grown().owners)
+    edited = sharding.rebalance(spark, path, sharding.sized(df))
+    assert edited.version == 3 and sharding.SlotMap.load(spark, path).owners == edited.owners
+    with pytest.raises(Exception, match="already exists"):
+        first.save(spark, path)
