@@ -17,8 +17,8 @@ of 0.8 or more. Such fingerprints differ in about 15 bits of 100, so longer ones
 bits, are cut into blocks: of b blocks, some block of a pair within b (radius + 1) - 1 bits has radius or fewer, and the tables of
 that block make the two meet. The number of blocks follows from the recall that is asked for. Whatever meets
 and lies near enough by the whole fingerprint is a candidate, and the sets of every candidate are compared.
-Candidates between texts that are already connected are not asked for: each text first meets its nearest few, then, where links left groups
-apart, the next nearest, until none is left, so a large group does not give all its pairs.
+Candidates between texts that are already connected are not compared: each text is first compared with its nearest, then, where that left groups
+apart, with further ones, until none is left, so a large group does not give all its pairs.
 
 Defined results: a null text has no words and the fingerprint zero, linked like any other; component
 ids are the smallest id that can be reached, null ids counting for nothing; repeated rows are each
@@ -48,11 +48,14 @@ RADIUS = 3
 BUCKET = 512
 SEED = 42
 #: The pipeline's stage: words of a shingle, least similarity of a link, share of the pairs at that similarity that meet in a table.
-WORDS, SIMILAR, RECALL = 5, 0.8, 0.95
-#: Fingerprints that are expected in a bucket of the stage, by a power of two, and the nearest that a text meets in the first round.
-BUCKET_POWER, NEAREST = 7, 4
-#: Words of a fingerprint by which candidates are told from texts that only share a bucket.
-FILTER_LANES = 2
+WORDS, SIMILAR, RECALL = 5, 0.8, 0.9
+#: Fingerprints that are expected in a bucket of the stage, by a power of two; how many of the nearest a text meets in a bucket in the first
+#: round, and by what factor that grows.
+BUCKET_POWER, NEAREST, GROWTH = 7, 1, 16
+#: Parts into which a text's candidates are dealt, the nearest of each part being compared; then all that are left are.
+PARTS = (1, 4)
+#: Words of a fingerprint by which candidates are told from texts that only share a bucket, in the first round and in later ones.
+FILTER_LANES, LONG_LANES = 2, 16
 
 
 def shingle_hashes(text: bytes, words: int) -> np.ndarray:
@@ -259,8 +262,9 @@ class BlockPlan:
     size: int
     blocks: int
     lanes: int
-    #: most differing bits of the first FILTER_LANES words that make a candidate
-    farthest: int
+    #: share of the pairs at the least similarity that the filters let through, and that similarity
+    let_through: float
+    similar: float
     radius: int = RADIUS
 
     @property
@@ -268,6 +272,11 @@ class BlockPlan:
         """Pairs that differ in so many bits of the blocks always meet."""
         return self.blocks * (self.radius + 1) - 1
 
+    def farthest(self, lanes: int) -> int:
+        """Most differing bits, of so many words, that make a candidate."""
+        share = differing_share(self.similar)
+        return next(t for t in range(64 * lanes) if _within(64 * lanes, t, share) >= self.let_through)
+
     def masks(self) -> list[tuple[int, np.uint64]]:
         """(word, mask) of every table."""
         each = 64 // self.size
@@ -280,9 +289,7 @@ def block_plan(n: int, similar: float = SIMILAR, recall: float = RECALL, radius:
     kept = (1 << radius) / ((1 << (radius + 1)) - 1)
     size = min(64, max(16, math.ceil((math.log2(max(2, n)) - BUCKET_POWER) / kept)))
     blocks = max(2, math.ceil(math.log(1 - recall) / math.log(1 - _within(size, radius, share))))
-    bits = 64 * FILTER_LANES
-    farthest = next(t for t in range(bits) if _within(bits, t, share) >= 1 - (1 - recall) / 2)
-    return BlockPlan(size, blocks, max(FILTER_LANES, -(-blocks // (64 // size))), farthest, radius)
+    return BlockPlan(size, blocks, max(FILTER_LANES, -(-blocks // (64 // size))), 1 - (1 - recall) / 2, similar, radius)
 
 
 def _remixed(hashes: np.ndarray, lane: int) -> np.ndarray:
@@ -326,17 +333,19 @@ def _deal(nodes: DataFrame, plan: BlockPlan) -> DataFrame:
 _OPEN = ("tab", "masked", "fp", "s0", "s1", "mark", "mark_fp")
 
 
-def nearest_pairs(s0: np.ndarray, s1: np.ndarray, roots: np.ndarray, marks: np.ndarray, farthest: int, nearest: int) -> tuple[list[tuple[int, int]], np.ndarray, bool]:
-    """Of a bucket: each member with its nearest members of other groups that lie beyond its mark; the new marks; and whether any has more.
+def nearest_pairs(words: np.ndarray, roots: np.ndarray, marks: np.ndarray, farthest: int, nearest: int) -> tuple[list[tuple[int, int, int]], np.ndarray, bool]:
+    """Of a bucket (fingerprints are columns of words): each member, its nearest members (with their distance) of other groups that lie beyond its mark; the new marks; and whether any has more.
 
     A mark is distance * members + place of the last member that was met; a member that met all has the largest mark.
     """
-    n = len(s0)
-    out: list[tuple[int, int]] = []
+    n = words.shape[1]
+    out: list[tuple[int, int, int]] = []
     new, more = np.full(n, 1 << 62, np.int64), False
     for at in range(0, n, 512):
         part = slice(at, min(n, at + 512))
-        distance = np.bitwise_count(s0[part, None] ^ s0).astype(np.int64) + np.bitwise_count(s1[part, None] ^ s1)
+        distance = np.zeros((part.stop - at, n), np.int64)
+        for word in words:
+            distance += np.bitwise_count(word[part, None] ^ word)
         near = distance <= farthest
         near[np.arange(part.stop - at), np.arange(at, part.stop)] = False
         if not near.any():
@@ -350,13 +359,18 @@ def nearest_pairs(s0: np.ndarray, s1: np.ndarray, roots: np.ndarray, marks: np.n
             if len(others) > nearest:
                 others = others[np.argpartition(keys[i, others], nearest - 1)[:nearest]]
                 new[at + i], more = keys[i, others].max(), True
-            out.extend((at + int(i), j) for j in others.tolist())
+            out.extend((at + int(i), j, int(distance[i, j])) for j in others.tolist())
     return out, new, more
 
 
 def _met(rows: DataFrame, plan: BlockPlan, nearest: int) -> DataFrame:
-    """kind 0: a candidate (fp, other); kind 1: a member of a bucket that has more, with its mark."""
+    """kind 0: a candidate (fp, other) and its distance as the mark; kind 1: a member of a bucket that has more, with its mark.
+
+    rows: with `long`, the fingerprint of LONG_LANES words, where there is that column.
+    """
     names = ("kind", "other", *_OPEN)
+    columns_of = [*_OPEN, "root", *(["long"] if "long" in rows.columns else [])]
+    farthest = plan.farthest(LONG_LANES if "long" in rows.columns else FILTER_LANES)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
@@ -366,29 +380,30 @@ def _met(rows: DataFrame, plan: BlockPlan, nearest: int) -> DataFrame:
         def close() -> None:
             if not held:
                 return
-            tabs, masked, fps, s0, s1, marks, mark_fps, roots = (np.concatenate(x) for x in zip(*held, strict=True))
+            tabs, masked, fps, s0, s1, marks, mark_fps, roots, *long = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
             n = len(fps)
             if n < 2:
                 return
             # a mark in the table is a distance and a fingerprint; members are in the order of fingerprints
-            places = np.searchsorted(fps, mark_fps)
-            own = np.where(marks < 0, -1, marks * n + places)
-            found, new, more = nearest_pairs(s0.view(np.uint64), s1.view(np.uint64), roots, own, plan.farthest, nearest)
+            own = np.where(marks < 0, -1, marks * n + np.searchsorted(fps, mark_fps))
+            words = np.frombuffer(b"".join(long[0].tolist()), np.uint64).reshape(n, LONG_LANES).T if long else np.stack([s0, s1]).view(np.uint64)
+            found, new, more = nearest_pairs(words, roots, own, farthest, nearest)
             if found:
-                x = fps[np.array(found)]
-                pairs.append(np.unique(np.stack([x.min(1), x.max(1)], 1), axis=0))
+                at = np.array(found)
+                x = fps[at[:, :2]]
+                pairs.append(np.unique(np.stack([x.min(1), x.max(1), at[:, 2]], 1), axis=0))
             if more:
                 left = new < 1 << 62
                 far, place = np.where(left, new // n, 1 << 20), np.where(left, new % n, 0)
                 opened.append(np.stack([tabs, masked, fps, s0, s1, far, fps[place]]))
 
         def flush() -> pa.RecordBatch:
-            met = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)
+            met = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 3), np.int64)
             rest = np.concatenate(opened, 1) if opened else np.zeros((len(_OPEN), 0), np.int64)
             zeros, none = np.zeros(len(met), np.int64), np.zeros(rest.shape[1], np.int64)
             columns = [np.append(zeros, none + 1), np.append(met[:, 1], none)]
-            columns += [np.append(met[:, 0] if name == "fp" else zeros, rest[k]) for k, name in enumerate(_OPEN)]
+            columns += [np.append({"fp": met[:, 0], "mark": met[:, 2]}.get(name, zeros), rest[k]) for k, name in enumerate(_OPEN)]
             pairs.clear()
             opened.clear()
             return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
@@ -397,7 +412,7 @@ def _met(rows: DataFrame, plan: BlockPlan, nearest: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            columns = [batch.column(k).to_numpy() for k in range(len(_OPEN) + 1)]
+            columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(len(columns_of))]
             ends = np.append(np.flatnonzero((columns[0][1:] != columns[0][:-1]) | (columns[1][1:] != columns[1][:-1])) + 1, batch.num_rows)
             begin = 0
             for end in ends.tolist():
@@ -412,7 +427,7 @@ def _met(rows: DataFrame, plan: BlockPlan, nearest: int) -> DataFrame:
         close()
         yield flush()
 
-    ordered = rows.select(*_OPEN, "root").repartition("tab", "masked").sortWithinPartitions("tab", "masked", "fp")
+    ordered = rows.select(*columns_of).repartition("tab", "masked").sortWithinPartitions("tab", "masked", "fp")
     return cut(ordered.mapInArrow(search, ", ".join(f"{n} long" for n in names)), "met")
 
 
@@ -440,31 +455,58 @@ def similar_links(marked: DataFrame, plan: BlockPlan, least: float = SIMILAR, wo
 
     marked: row_id, fp, sketch and body.
     """
+    def bodies_of(fps: DataFrame) -> DataFrame:
+        return marked.select("row_id", "body").join(nodes.join(fps, "fp").select("row_id", "fp"), "row_id").select("fp", "body")
+
+    def longer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sketches = [sketch(np.unique(shingle_hashes(text.as_py(), words)), LONG_LANES).tobytes() for text in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sketches, pa.binary())], names=["fp", "long"])
+
     nodes = cut(marked.where(F.length("sketch") > 0).groupBy("fp").agg(F.min(F.struct("row_id", "sketch")).alias("first")).select("fp", "first.row_id", "first.sketch"), "nodes")
-    rows, nearest, tested, found = _deal(nodes, plan), NEAREST, None, None
+    rows, nearest, tested, found, roots = _deal(nodes, plan), NEAREST, None, None, None
     while True:
         met = _met(rows, plan, nearest)
-        pairs = met.where("kind = 0").select(F.col("fp").alias("a"), F.col("other").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = cut(pairs, "candidates")
-        near = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
-        bodies = marked.select("row_id", "body").join(nodes.join(near, "fp").select("row_id", "fp"), "row_id").select("fp", "body")
-        same = _similar(pairs, bodies, least, words)
-        found = same if found is None else found.union(same)
-        tested = pairs if tested is None else tested.union(pairs)
+        pending = met.where("kind = 0").groupBy(F.col("fp").alias("a"), F.col("other").alias("b")).agg(F.min("mark").alias("distance"))
+        pending = cut(pending if tested is None else pending.join(tested, ["a", "b"], "left_anti"), "candidates")
+        for parts in (*PARTS, None):
+            if pending.isEmpty():
+                break
+            chosen = pending.select("a", "b")
+            if parts:
+                ends = pending.select(F.col("a").alias("node"), F.col("b").alias("other"), "*").union(pending.select(F.col("b"), F.col("a"), "*"))
+                chosen = ends.groupBy("node", F.pmod(F.xxhash64("other"), F.lit(parts))).agg(F.min(F.struct("distance", "a", "b")).alias("first")).select("first.a", "first.b").distinct()
+            chosen = cut(chosen, "chosen")
+            near = chosen.select(F.col("a").alias("fp")).union(chosen.select(F.col("b").alias("fp"))).distinct()
+            same = _similar(chosen, bodies_of(near), least, words)
+            found, tested = (x if old is None else old.union(x) for x, old in ((same, found), (chosen, tested)))
+            if not parts:
+                break
+            roots = connected_components(found)
+            pending = cut(_apart(pending.join(chosen, ["a", "b"], "left_anti"), roots), "candidates")
         more = met.where("kind = 1").select(*_OPEN)
+        if found is None:
+            found = pending.select("a", "b")  # none
         if more.isEmpty():
             return found
         roots = connected_components(found)
-        rows = more.join(roots, more.fp == roots.node, "left").select(*_OPEN, F.coalesce("root", "fp").alias("root"))
-        nearest *= 4
+        if nearest == NEAREST:  # distances of longer fingerprints begin anew
+            more = more.withColumn("mark", F.lit(-1).cast("long"))
+        longs = cut(bodies_of(more.select("fp").distinct()).mapInArrow(longer, "fp long, long binary"), "longer")
+        rows = more.join(roots, more.fp == roots.node, "left").select(*_OPEN, F.coalesce("root", "fp").alias("root")).join(longs, "fp")
+        nearest *= GROWTH
+
+
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs whose ends are not connected."""
+    r = roots.select(F.col("node").alias("a"), F.col("root").alias("root_a")), roots.select(F.col("node").alias("b"), F.col("root").alias("root_b"))
+    return pairs.join(r[0], "a", "left").join(r[1], "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select(*pairs.columns)
 
 
 def with_sketches(docs: DataFrame, plan: BlockPlan, text_col: str = "text", words: int = WORDS, prefix: str = "__cf_") -> DataFrame:
-    """All columns of docs and, their names after prefix: row_id, fp (a hash of the set of shingles, 0 without words), sketch (empty without words) and body; written out."""
+    """All columns of docs and, their names after prefix: row_id, fp (a hash of the set of shingles, 0 without words) and sketch (empty without words); written out."""
     columns = docs.columns
-    schema = T.StructType([*docs.schema.fields, T.StructField(f"{prefix}row_id", T.LongType()), T.StructField(f"{prefix}body", T.BinaryType()), T.StructField(f"{prefix}fp", T.LongType()), T.StructField(f"{prefix}sketch", T.BinaryType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(f"{prefix}row_id", T.LongType()), T.StructField(f"{prefix}fp", T.LongType()), T.StructField(f"{prefix}sketch", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -473,7 +515,7 @@ def with_sketches(docs: DataFrame, plan: BlockPlan, text_col: str = "text", word
                 own = np.unique(shingle_hashes(text.as_py(), words))
                 fps[i] = xxhash.xxh64_intdigest(own.tobytes(), SEED) if len(own) else 0
                 sketches.append(sketch(own, plan.lanes).tobytes() if len(own) else b"")
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps.view(np.int64)), pa.array(sketches, pa.binary())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fps.view(np.int64)), pa.array(sketches, pa.binary())], names=schema.names)
 
     numbered = docs.select("*", F.monotonically_increasing_id().alias(f"{prefix}row_id"), as_bytes(F.col(text_col)).alias(f"{prefix}body"))
     return cut(numbered.mapInArrow(run, schema), "shingles")
@@ -486,7 +528,7 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     plan = plan or block_plan(docs.count())
     held = with_sketches(docs, plan, text_col)
-    marked = held.select(F.col(id_col).alias("id"), *(F.col(f"__cf_{c}").alias(c) for c in ("row_id", "fp", "sketch", "body")))
+    marked = held.select(F.col(id_col).alias("id"), *(F.col(f"__cf_{c}").alias(c) for c in ("row_id", "fp", "sketch")), as_bytes(F.col(text_col)).alias("body"))
     roots = connected_components(similar_links(marked, plan))
     firsts = marked.where("id is not null").groupBy("fp").agg(F.min(F.struct("id", "row_id")).alias("first"))
     of = firsts.join(roots, firsts.fp == roots.node, "left").select("first", F.coalesce("root", "fp").alias("root"))
