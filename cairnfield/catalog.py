@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from cairnfield.errors import Code, EngineError
 from cairnfield.operators import relations, spatial
-from cairnfield.plans.query import FID, Query, build, checked, geometry_columns, metrics
+from cairnfield.plans.query import FID, Query, build, checked, geometry_columns, metrics, validate
 from cairnfield.sources import filegdb, metadata
 
 MAX_URI_BYTES = 8192
@@ -28,19 +28,21 @@ class Budget:
 
 
 def parse_uri(uri: str) -> str:
-    """A path or an object-store URI of a geodatabase directory or a folder of Parquet tables."""
+    """A path or an object-store URI of a geodatabase directory."""
     if not uri or len(uri.encode()) > MAX_URI_BYTES or "\x00" in uri:
         raise EngineError(Code.INVALID_REQUEST, "not a usable address")
     if m := re.match(r"(s3a?)://([^/]*)/?(.*)", uri):
         if not re.fullmatch(r"[a-z0-9][a-z0-9.-]{1,61}[a-z0-9]", m[2]) or not m[3]:
             raise EngineError(Code.INVALID_REQUEST, "bucket or key is missing or malformed")
+        if set("?@") & set(m[3]) or {"", ".", ".."} & set(m[3].rstrip("/").split("/")) or not m[3].rstrip("/").endswith(".gdb"):
+            raise EngineError(Code.INVALID_REQUEST, "key is no geodatabase directory")
         return f"s3a://{m[2]}/{m[3].rstrip('/')}"
     return uri.removeprefix("file://").rstrip("/") or "/"
 
 
 @dataclass(frozen=True)
 class Route:
-    """Where an address goes. There is one engine; object stores are read through Spark's file systems."""
+    """Where an address goes. There is one engine, and it reads geodatabase directories of mounted file systems; an object store's address is named as such and refused when it is opened."""
 
     uri: str
     source: str
@@ -62,7 +64,8 @@ class Layer:
 
     def __init__(self, dataset: Dataset, name: str, df: DataFrame, kind: str | None):
         self.dataset, self.name, self.df = dataset, name, df
-        self.kind = kind or spatial.POINT
+        self._source = dataset.source_of(name)
+        self.kind = kind if kind or "gkind" in df.columns else spatial.POINT
         self.has_geometry = bool(geometry_columns(df))
 
     @property
@@ -71,11 +74,29 @@ class Layer:
 
     def query(self, query: Query) -> DataFrame:
         self.dataset.check_unchanged()
-        return checked(build(self.df, query, self.kind), query.max_features)
+        return checked(build(self._scan(query), query, self.kind), query.max_features)
+
+    def _scan(self, query: Query) -> DataFrame:
+        """The layer with no more columns and rows than the query needs, where its source can leave them out."""
+        where = validate(self.df, query)
+        if self._source is None:
+            return self.df
+        options: dict[str, str] = {}
+        if query.fields is not None:
+            options["fields"] = ",".join(dict.fromkeys([*query.fields, *(where.references if where else ())]))
+        if self.has_geometry and query.box is None and not query.with_geometry:
+            options["geometry"] = "false"
+        if query.box is not None:
+            options["box"] = ",".join(map(repr, map(float, query.box)))
+        if query.fid is not None:
+            options |= {"first_fid": str(query.fid), "stop_fid": str(query.fid + 1)}
+        elif query.from_fid is not None:
+            options["first_fid"] = str(max(0, query.from_fid))
+        return filegdb.read_layer(self.dataset.spark, *self._source, **options)
 
     def explain(self, query: Query) -> str:
         """The kind of access and the physical plan."""
-        df = build(self.df, query, self.kind)
+        df = build(self._scan(query), query, self.kind)
         return f"path: {query.path}\n{df._jdf.queryExecution().toString()}"
 
     def capabilities(self) -> dict[str, bool]:
@@ -183,7 +204,10 @@ class Dataset:
 
     @classmethod
     def open(cls, spark: SparkSession, uri: str, system: bool = False) -> Dataset:
-        database = filegdb.Geodatabase(parse_uri(uri))
+        at = route(uri)
+        if at.source != "directory":
+            raise EngineError(Code.UNSUPPORTED, f"{at.uri}: mount the object store to open a geodatabase in it")
+        database = filegdb.Geodatabase(at.uri)
         layers: dict[str, tuple[DataFrame, str | None]] = {}
         for name in database.layer_names(system):
             layers["/" + name] = (filegdb.read_layer(spark, database.path, name), None)
@@ -193,6 +217,10 @@ class Dataset:
         if self._database:
             self._database.check_unchanged()
 
+    def source_of(self, path: str) -> tuple[str, str] | None:
+        """Directory and table of a layer that is read from a geodatabase."""
+        return (self._database.path, path.rsplit("/", 1)[1]) if self._database else None
+
     def layer_names(self) -> list[str]:
         return sorted(p.rsplit("/", 1)[1] for p in self._layers)
 

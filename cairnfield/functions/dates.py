@@ -46,5 +46,5 @@ def ole_text(value: Column, part: str = "datetime") -> Column:
 
 
 def offset_minutes(flag: Column) -> Column:
-    """Minutes of a time-zone flag of quarter hours around 100 (100: UTC); other flags are unknown."""
-    return F.when(flag >= 2, (flag - 100) * 15)
+    """Minutes of a time-zone flag of quarter hours around 100 (100: UTC), from 2 to 198; other flags say nothing and give 0."""
+    return F.when(flag.between(2, 198), (flag - 100) * 15).when(flag.isNotNull(), 0)

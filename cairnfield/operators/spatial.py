@@ -115,6 +115,14 @@ def meets(kind: str, box: Box, gbox: Column, parts: Column | None = None) -> Col
     return touching & F.when(envelope_inside(gbox, box), True).otherwise(exact)
 
 
+def meets_by_kind(kind: Column, box: Box, gbox: Column, parts: Column) -> Column:
+    """The whole test where each row names its kind; rows without parts are met by their envelope."""
+    exact = F.when(envelope_inside(gbox, box) | parts.isNull(), True)
+    for name, test in ((MULTIPOINT, any_point_inside(parts, box)), (LINE, any_segment_meets(parts, box)), (POLYGON, polygon_meets(parts, box))):
+        exact = exact.when(kind == name, test)
+    return envelope_meets(gbox, box) & exact.otherwise(True)
+
+
 def envelope(parts: Column) -> Column:
     """gbox of parts, null where there is no point."""
     points = F.flatten(parts)

@@ -63,13 +63,16 @@ def validate(df: DataFrame, query: Query) -> BoundWhere | None:
     return BoundWhere(query.where, df.select([c for c in df.columns if c not in GEOMETRY]).schema)
 
 
-def box_condition(df: DataFrame, sides: tuple[float, float, float, float], kind: str) -> Column:
+def box_condition(df: DataFrame, sides: tuple[float, float, float, float], kind: str | None) -> Column:
+    """kind: None where every row says its own (`gkind`)."""
     box = spatial.Box(*sides)
     parts = F.col("gparts") if "gparts" in df.columns else None
+    if kind is None:
+        return spatial.meets_by_kind(F.col("gkind"), box, F.col("gbox"), parts) if "gkind" in df.columns and parts is not None else spatial.meets(spatial.POINT, box, F.col("gbox"), parts)
     return spatial.meets(kind, box, F.col("gbox"), parts)
 
 
-def condition(df: DataFrame, query: Query, kind: str = spatial.POINT) -> Column | None:
+def condition(df: DataFrame, query: Query, kind: str | None = spatial.POINT) -> Column | None:
     """All filters of the query as one Column; the box first, as its range conditions are what the scan can use."""
     where = validate(df, query)
     parts: list[Column] = []
@@ -87,7 +90,7 @@ def condition(df: DataFrame, query: Query, kind: str = spatial.POINT) -> Column
     return out
 
 
-def build(df: DataFrame, query: Query, kind: str = spatial.POINT) -> DataFrame:
+def build(df: DataFrame, query: Query, kind: str | None = spatial.POINT) -> DataFrame:
     """Filter, project, order, page. The budget is checked when rows are read (`checked`)."""
     wanted = condition(df, query, kind)
     out = df if wanted is None else df.where(wanted)
@@ -111,7 +114,7 @@ def checked(df: DataFrame, max_features: int) -> DataFrame:
     return df
 
 
-def metrics(df: DataFrame, query: Query, kind: str = spatial.POINT) -> DataFrame:
+def metrics(df: DataFrame, query: Query, kind: str | None = spatial.POINT) -> DataFrame:
     """One row: candidates (envelope meets the box), rejected, contained, tested exactly, matched, and rows without a usable geometry."""
     validate(df, query)
     if query.box is None:

@@ -254,6 +254,8 @@ def comparison(col: Column, kind: T.DataType, op: str, value: str | float) -> Co
         return _or_null(col, _dated(col, kind, op, value), op)
     if isinstance(kind, T.StructType) and "ts" in kind.names:  # date-time with offset: the offset does not count
         return _or_null(col, _dated(col["ts"], kind["ts"].dataType, op, value), op)
+    if isinstance(kind, T.StructType) and "ole" in kind.names:
+        return _or_null(col, comparison(col["ole"], kind["ole"].dataType, op, value), op)
     return nothing
 
 

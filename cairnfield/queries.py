@@ -287,9 +287,31 @@ _register("xml_tags", lambda spark, sf_dir: _table(spark, sf_dir, "nation").sele
 _register("utf16_text", lambda spark, sf_dir: _table(spark, sf_dir, "nation").select("n_nationkey", text.utf16_text(F.encode(F.concat("n_name", F.lit("é\U0001f600\x00rest")), "UTF-16LE")).alias("name")), "SELECT n_nationkey, n_name || 'é😀' AS name FROM nation")
 _register("grid_coordinates", lambda spark, sf_dir: _table(spark, sf_dir, "events").select("event_id", text.real_to_grid(F.col("user_id") + 0.125, -400.0, 1000.0).alias("grid"), text.grid_to_real(F.col("user_id"), -400.0, 8.0).alias("real")), "SELECT event_id, round((user_id + 0.125 + 400) * 1000)::BIGINT AS grid, user_id / 8.0 - 400 AS real FROM events")
 _register("ring_area", lambda spark, sf_dir: customer_squares(spark, sf_dir).select("c_custkey", spatial.signed_area(F.col("gparts")[0]).alias("outer_area"), spatial.signed_area(F.col("gparts")[1]).alias("hole_area")), "SELECT c_custkey, 256.0::DOUBLE AS outer_area, -64.0::DOUBLE AS hole_area FROM customer")
-_register("polygon_wkb", lambda spark, sf_dir: geometry.with_wkb(customer_squares(spark, sf_dir).select("c_custkey", "gparts"), spatial.POLYGON).select("c_custkey", F.length("wkb").alias("n_bytes"), F.hex(F.substring("wkb", 1, 9)).alias("head")), "SELECT c_custkey, 186 AS n_bytes, '010600000001000000' AS head FROM customer")
-_register("point_wkb", lambda spark, sf_dir: event_points(spark, sf_dir).select("event_id", F.hex(geometry.point_wkb(F.col("gbox.xmin"), F.col("gbox.ymin"))).alias("wkb")), None)
+def _point_wkt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = event_points(spark, sf_dir).select("event_id", geometry.point_wkb(F.floor(F.col("gbox.xmin")), F.floor(F.col("gbox.ymin"))).alias("wkb"))
+    return geometry.with_wkt(points).select("event_id", F.length("wkb").alias("n_bytes"), "wkt")
+
+
+_register("point_wkb", _point_wkt, "SELECT event_id, 21 AS n_bytes, 'POINT (' || user_id || ' ' || floor(value)::BIGINT || ')' AS wkt FROM events")
+_register(
+    "polygon_wkb",
+    lambda spark, sf_dir: geometry.with_wkb(customer_squares(spark, sf_dir).select("c_custkey", "gparts"), spatial.POLYGON).select("c_custkey", F.lower(F.hex("wkb")).alias("wkb")),
+    f"""WITH corners AS (SELECT c_custkey, unnest([x-8, x+8, x+8, x-8, x-8, x-4, x+4, x+4, x-4, x-4])::BIGINT AS px, unnest([y-8, y-8, y+8, y+8, y-8, y+4, y+4, y-4, y-4, y+4])::BIGINT AS py, unnest(range(10)) AS k FROM ({_SQUARES}) q),
+    v AS (SELECT DISTINCT px AS n FROM corners UNION SELECT DISTINCT py FROM corners),
+    e AS (SELECT n, CASE WHEN n = 0 THEN 0 ELSE floor(log2(abs(n)))::INTEGER END AS e FROM v),
+    b AS (SELECT n, CASE WHEN n = 0 THEN repeat('0', 16) ELSE lpad(to_hex((((1023 + e)::BIGINT << 52) | ((abs(n) - (1::BIGINT << e)) << (52 - e)))::BIGINT), 16, '0') END AS h FROM e),
+    d AS (SELECT n, lower((CASE WHEN n < 0 THEN to_hex((('0x' || h[1:1])::BIGINT) + 8) || h[2:] ELSE h END)) AS h FROM b),
+    l AS (SELECT n, h[15:16] || h[13:14] || h[11:12] || h[9:10] || h[7:8] || h[5:6] || h[3:4] || h[1:2] AS h FROM d)
+    SELECT c_custkey, '0106000000010000000103000000020000000500' || '0000' || string_agg(CASE WHEN k = 5 THEN '05000000' ELSE '' END || a.h || o.h, '' ORDER BY k) AS wkb FROM corners JOIN l a ON a.n = px JOIN l o ON o.n = py GROUP BY c_custkey""",
+)
 _register("polygon_wkt", lambda spark, sf_dir: geometry.with_wkt(geometry.with_wkb(customer_squares(spark, sf_dir).select("c_custkey", "gparts"), spatial.POLYGON)).select("c_custkey", "wkt"), f"""
     WITH q AS ({_SQUARES}), s AS (SELECT c_custkey, x::BIGINT AS x, y::BIGINT AS y FROM q)
     SELECT c_custkey, 'MULTIPOLYGON (((' || (x-8) || ' ' || (y-8) || ', ' || (x+8) || ' ' || (y-8) || ', ' || (x+8) || ' ' || (y+8) || ', ' || (x-8) || ' ' || (y+8) || ', ' || (x-8) || ' ' || (y-8)
         || '), (' || (x-4) || ' ' || (y+4) || ', ' || (x+4) || ' ' || (y+4) || ', ' || (x+4) || ' ' || (y-4) || ', ' || (x-4) || ' ' || (y-4) || ', ' || (x-4) || ' ' || (y+4) || ')))' AS wkt FROM s""")
+
+_register(
+    "ole_before_epoch",
+    lambda spark, sf_dir: _table(spark, sf_dir, "orders").select("o_orderkey", dates.ole_text(-(F.col("o_orderkey") % 2000).cast("double") - 1, "date").alias("day")),
+    "SELECT o_orderkey, strftime(TIMESTAMP '1899-12-30 00:00:00' - to_days((o_orderkey % 2000)::INTEGER + 1), '%Y-%m-%d') AS day FROM orders",
+)
+_register("offset_minutes", lambda spark, sf_dir: _table(spark, sf_dir, "orders").select("o_orderkey", dates.offset_minutes(F.col("o_orderkey") % 256).cast("long").alias("minutes")), "SELECT o_orderkey, CASE WHEN o_orderkey % 256 BETWEEN 2 AND 198 THEN (o_orderkey % 256 - 100) * 15 ELSE 0 END AS minutes FROM orders")

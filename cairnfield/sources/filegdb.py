@@ -9,15 +9,18 @@ A row that cannot be decoded is an error; feature ids are zero-based and `object
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from cairnfield.errors import Code, EngineError
 from cairnfield.operators.geometry import GEOM, NULL, VALID, BlobError, Geometry, Grid, Reader, decode_blob, peek_envelope, to_wkb
@@ -28,6 +31,7 @@ NUMBERS = {INT16: "h", INT32: "i", INT64: "q", FLOAT32: "f", FLOAT64: "d", DATET
 NULLABLE, HAS_DEFAULT = 1, 4
 BLOCK_ROWS = 1024
 ROWS_PER_TASK = 100_000
+BATCH_ROWS = 4096
 _FILE = re.compile(r"a([0-9a-f]{8})\.(\w+)", re.IGNORECASE)
 
 
@@ -304,13 +308,13 @@ GBOX = T.StructType([T.StructField(n, T.DoubleType()) for n in ("xmin", "ymin",
 GPARTS = T.ArrayType(T.ArrayType(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])))
 
 
-def schema_of(table: TableFile, fields: list[str] | None = None, raw: bool = False) -> T.StructType:
+def schema_of(table: TableFile, fields: list[str] | None = None, raw: bool = False, geometry: bool = True) -> T.StructType:
     """fid, objectid, the attributes (dates as OLE numbers), the geometry if there is one, and with raw the bytes of the row."""
     out = [T.StructField("fid", T.LongType(), False), T.StructField("objectid", T.LongType(), False)]
     for f in table.fields:
         if f.kind in _SPARK_TYPES and (fields is None or f.name in fields):
             out.append(T.StructField(f.name, _SPARK_TYPES[f.kind], f.nullable, {"alias": f.alias, "width": f.width, "physical_type": f.kind}))
-    if table.geometry:
+    if table.geometry and geometry:
         out += [T.StructField("geom", GEOM), T.StructField("gbox", GBOX), T.StructField("gparts", GPARTS), T.StructField("gkind", T.StringType())]
     return T.StructType([*out, T.StructField("raw_row", T.BinaryType())] if raw else out)
 
@@ -344,27 +348,46 @@ class _Range(InputPartition):
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, path: str, layer: str, schema: T.StructType, rows_per_task: int, on_invalid: str):
-        self._path, self._layer, self._schema, self._rows, self._on_invalid = path, layer, schema, rows_per_task, on_invalid
+    """Reads ranges of feature ids; with a box it passes over rows by the envelope in the blob, before the geometry is decoded."""
+
+    def __init__(self, table: TableFile, schema: T.StructType, options: dict[str, str]):
+        self._table, self._schema = table, schema  # the descriptors go to the tasks
+        self._rows, self._on_invalid = int(options.get("rows_per_task", str(ROWS_PER_TASK))), options.get("on_invalid_geometry", "fail")
+        self._first, self._stop = (int(options.get(k, d)) for k, d in (("first_fid", "0"), ("stop_fid", str(1 << 62))))
+        self._box = tuple(map(float, options["box"].split(","))) if "box" in options else None
 
     def partitions(self) -> list[InputPartition]:
-        n = len(Geodatabase(self._path).open(self._layer))
-        return [_Range(at, min(n, at + self._rows)) for at in range(0, n, self._rows)] or [_Range(0, 0)]
+        stop = min(len(self._table), self._stop)
+        return [_Range(at, min(stop, at + self._rows)) for at in range(self._first, stop, self._rows)] or [_Range(0, 0)]
+
+    def _passed_over(self, blob: object, grid: Grid) -> bool:
+        own, box = peek_envelope(blob, grid) if blob else None, self._box  # type: ignore[arg-type]
+        return own is None or own[0] > box[2] or own[2] < box[0] or own[1] > box[3] or own[3] < box[1]  # type: ignore[index]
 
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        table = Geodatabase(self._path).open(self._layer)
-        names, shape = self._schema.names, table.geometry
+    def _rows_of(self, partition: InputPartition) -> Iterator[tuple]:
+        table, names, shape = self._table, self._schema.names, self._table.geometry
         wanted = set(names) | ({shape.name} if shape and "geom" in names else set())
         for fid, data in table.raw_rows(partition.start, partition.stop):  # type: ignore[attr-defined]
             row = table.decode(fid, data, wanted)
             values: dict[str, object] = {**row, "fid": fid, "objectid": fid + 1, "raw_row": data}
             if shape and "geom" in names:
+                if self._box and self._passed_over(row[shape.name], shape.grid):
+                    continue
                 values["geom"], values["gbox"], values["gparts"], values["gkind"] = geometry_row(row[shape.name], shape.grid, row[shape.name] is None, self._on_invalid)
             yield tuple(values[n] for n in names)
 
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+        schema, rows = to_arrow_schema(self._schema), self._rows_of(partition)
+        while held := list(itertools.islice(rows, BATCH_ROWS)):
+            yield pa.RecordBatch.from_arrays([pa.array(column, f.type) for column, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+
 
 class GeodatabaseSource(DataSource):
-    """Options: path, layer; fields (comma-separated) for fewer columns, raw (true adds each row's bytes), rows_per_task, on_invalid_geometry (fail or keep_status)."""
+    """Options: path, layer; fields (comma-separated) for fewer columns, geometry (false leaves it out), raw (true adds each row's bytes),
+    first_fid and stop_fid, box (xmin,ymin,xmax,ymax: rows whose envelope does not meet it may be left out), rows_per_task, on_invalid_geometry (fail or keep_status).
+
+    A query's columns, ids and box are options, set anew for each query, as Spark keeps the state of a reader that took its conditions.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -375,10 +398,10 @@ class GeodatabaseSource(DataSource):
 
     def schema(self) -> T.StructType:
         fields = self.options.get("fields")
-        return schema_of(self._table(), fields.split(",") if fields else None, self.options.get("raw", "false") == "true")
+        return schema_of(self._table(), None if fields is None else fields.split(","), self.options.get("raw", "false") == "true", self.options.get("geometry", "true") == "true")
 
     def reader(self, schema: T.StructType) -> DataSourceReader:
-        return _Reader(self.options["path"], self.options["layer"], schema, int(self.options.get("rows_per_task", str(ROWS_PER_TASK))), self.options.get("on_invalid_geometry", "fail"))
+        return _Reader(self._table(), schema, dict(self.options))
 
 
 def read_layer(spark: SparkSession, path: str, layer: str, **options: str):

@@ -233,3 +233,36 @@ def test_stream(spark, tmp_path):
     assert sorted(r.v for r in spark.table("kept").collect()) == [7, 8, 9]
     with pytest.raises(EngineError):
         filtered_stream(stream, Query(limit=1))
+
+
+def test_box_columns_and_ids_reach_the_directory(spark):
+    from cairnfield import directory_queries
+    from tests.conftest import SF_SMALL
+
+    dataset = directory_queries.sample(spark, SF_SMALL)
+    squares = dataset.layer("squares")
+    narrow = squares._scan(Query(fields=("ckey",), box=(100.0, 300.0, 220.0, 500.0)))
+    assert narrow.columns == ["fid", "objectid", "ckey", "geom", "gbox", "gparts", "gkind"]
+    whole = squares.df.where("gbox.xmin <= 220 and gbox.xmax >= 100 and gbox.ymin <= 500 and gbox.ymax >= 300")
+    assert narrow.count() == whole.count() < squares.df.count()
+    orders = dataset.layer("orders_t")
+    assert orders._scan(Query(fields=("okey",), where="PRICE > 5", fid=4)).columns == ["fid", "objectid", "okey", "price"]
+    assert orders._scan(Query(fid=4)).count() == 1 and orders._scan(Query(from_fid=100)).agg({"fid": "min"}).first()[0] >= 100
+    assert orders.read(4).okey == orders.query(Query(where="okey >= 0")).where("fid = 4").first().okey
+
+
+def test_triangle_of_a_directory_is_tested_exactly(spark, tmp_path):
+    from cairnfield.sources import filegdb
+    from cairnfield.sources.writer import TableWriter, blob, write_geodatabase
+
+    fields = [("OBJECTID", filegdb.OBJECTID, False), ("SHAPE", filegdb.GEOMETRY, True)]
+    path = str(tmp_path / "t.gdb")
+    write_geodatabase(path, {"t": (TableWriter(fields, "polygon"), [(blob("polygon", [[(0, 0), (0, 10), (10, 0), (0, 0)]]),), (None,)])})
+    layer = Dataset.open(spark, path).layer("t")
+    assert layer.count(Query(box=(8, 8, 9, 9))) == 0 and layer.count(Query(box=(1, 1, 2, 2))) == 1 and layer.count() == 2
+
+
+@pytest.mark.parametrize("uri", ["s3://bucket/a?b.gdb", "s3://bucket/a//b.gdb", "s3://bucket/../b.gdb", "s3://bucket/u@b.gdb", "s3://bucket/plain", "s3://bucket/b.gdb"])
+def test_object_store_addresses_are_refused(spark, uri):
+    with pytest.raises(EngineError):
+        Dataset.open(spark, uri)
