@@ -333,14 +333,14 @@ def _deal(nodes: DataFrame, plan: BlockPlan) -> DataFrame:
 _OPEN = ("tab", "masked", "fp", "s0", "s1", "mark", "mark_fp")
 
 
-def nearest_pairs(words: np.ndarray, roots: np.ndarray, marks: np.ndarray, farthest: int, nearest: int) -> tuple[list[tuple[int, int, int]], np.ndarray, bool]:
-    """Of a bucket (fingerprints are columns of words): each member, its nearest members (with their distance) of other groups that lie beyond its mark; the new marks; and whether any has more.
+def nearest_pairs(words: np.ndarray, roots: np.ndarray, marks: np.ndarray, farthest: int, nearest: int) -> tuple[list[tuple[int, int, int]], np.ndarray, bool, np.ndarray]:
+    """Of a bucket (fingerprints are columns of words): each member, its nearest members (with their distance) of other groups that lie beyond its mark; the new marks; whether any has more; and which members are near any other at all.
 
     A mark is distance * members + place of the last member that was met; a member that met all has the largest mark.
     """
     n = words.shape[1]
     out: list[tuple[int, int, int]] = []
-    new, more = np.full(n, 1 << 62, np.int64), False
+    new, more, involved = np.full(n, 1 << 62, np.int64), False, np.zeros(n, bool)
     for at in range(0, n, 512):
         part = slice(at, min(n, at + 512))
         distance = np.zeros((part.stop - at, n), np.int64)
@@ -348,7 +348,8 @@ def nearest_pairs(words: np.ndarray, roots: np.ndarray, marks: np.ndarray, farth
             distance += np.bitwise_count(word[part, None] ^ word)
         near = distance <= farthest
         near[np.arange(part.stop - at), np.arange(at, part.stop)] = False
-        if not near.any():
+        involved[part] = near.any(1)
+        if not involved[part].any():
             continue
         near &= roots[part, None] != roots
         keys = distance * n + np.arange(n)
@@ -360,11 +361,11 @@ def nearest_pairs(words: np.ndarray, roots: np.ndarray, marks: np.ndarray, farth
                 others = others[np.argpartition(keys[i, others], nearest - 1)[:nearest]]
                 new[at + i], more = keys[i, others].max(), True
             out.extend((at + int(i), j, int(distance[i, j])) for j in others.tolist())
-    return out, new, more
+    return out, new, more, involved
 
 
 def _met(rows: DataFrame, plan: BlockPlan, nearest: int) -> DataFrame:
-    """kind 0: a candidate (fp, other) and its distance as the mark; kind 1: a member of a bucket that has more, with its mark.
+    """kind 0: a candidate (fp, other) and its distance as the mark; kind 1: a member, near another, of a bucket that has more, with its mark.
 
     rows: with `long`, the fingerprint of LONG_LANES words, where there is that column.
     """
@@ -388,7 +389,7 @@ def _met(rows: DataFrame, plan: BlockPlan, nearest: int) -> DataFrame:
             # a mark in the table is a distance and a fingerprint; members are in the order of fingerprints
             own = np.where(marks < 0, -1, marks * n + np.searchsorted(fps, mark_fps))
             words = np.frombuffer(b"".join(long[0].tolist()), np.uint64).reshape(n, LONG_LANES).T if long else np.stack([s0, s1]).view(np.uint64)
-            found, new, more = nearest_pairs(words, roots, own, farthest, nearest)
+            found, new, more, involved = nearest_pairs(words, roots, own, farthest, nearest)
             if found:
                 at = np.array(found)
                 x = fps[at[:, :2]]
@@ -396,7 +397,7 @@ def _met(rows: DataFrame, plan: BlockPlan, nearest: int) -> DataFrame:
             if more:
                 left = new < 1 << 62
                 far, place = np.where(left, new // n, 1 << 20), np.where(left, new % n, 0)
-                opened.append(np.stack([tabs, masked, fps, s0, s1, far, fps[place]]))
+                opened.append(np.stack([tabs, masked, fps, s0, s1, far, fps[place]])[:, involved])
 
         def flush() -> pa.RecordBatch:
             met = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 3), np.int64)
@@ -455,18 +456,18 @@ def similar_links(marked: DataFrame, plan: BlockPlan, least: float = SIMILAR, wo
 
     marked: row_id, fp, sketch and body.
     """
-    def bodies_of(fps: DataFrame) -> DataFrame:
-        return marked.select("row_id", "body").join(nodes.join(fps, "fp").select("row_id", "fp"), "row_id").select("fp", "body")
-
     def longer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sketches = [sketch(np.unique(shingle_hashes(text.as_py(), words)), LONG_LANES).tobytes() for text in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sketches, pa.binary())], names=["fp", "long"])
 
     nodes = cut(marked.where(F.length("sketch") > 0).groupBy("fp").agg(F.min(F.struct("row_id", "sketch")).alias("first")).select("fp", "first.row_id", "first.sketch"), "nodes")
-    rows, nearest, tested, found, roots = _deal(nodes, plan), NEAREST, None, None, None
+    rows, nearest, tested, found, roots, bodies = _deal(nodes, plan), NEAREST, None, None, None, None
     while True:
         met = _met(rows, plan, nearest)
+        if bodies is None:  # the texts of all that are near another, written once: later rounds have no others
+            ends = met.select("fp").union(met.where("kind = 0").select("other")).distinct()
+            bodies = cut(marked.select("row_id", "body").join(nodes.join(ends, "fp").select("row_id", "fp"), "row_id").select("fp", "body"), "bodies")
         pending = met.where("kind = 0").groupBy(F.col("fp").alias("a"), F.col("other").alias("b")).agg(F.min("mark").alias("distance"))
         pending = cut(pending if tested is None else pending.join(tested, ["a", "b"], "left_anti"), "candidates")
         for parts in (*PARTS, None):
@@ -477,8 +478,7 @@ def similar_links(marked: DataFrame, plan: BlockPlan, least: float = SIMILAR, wo
                 ends = pending.select(F.col("a").alias("node"), F.col("b").alias("other"), "*").union(pending.select(F.col("b"), F.col("a"), "*"))
                 chosen = ends.groupBy("node", F.pmod(F.xxhash64("other"), F.lit(parts))).agg(F.min(F.struct("distance", "a", "b")).alias("first")).select("first.a", "first.b").distinct()
             chosen = cut(chosen, "chosen")
-            near = chosen.select(F.col("a").alias("fp")).union(chosen.select(F.col("b").alias("fp"))).distinct()
-            same = _similar(chosen, bodies_of(near), least, words)
+            same = _similar(chosen, bodies, least, words)
             found, tested = (x if old is None else old.union(x) for x, old in ((same, found), (chosen, tested)))
             if not parts:
                 break
@@ -492,7 +492,7 @@ def similar_links(marked: DataFrame, plan: BlockPlan, least: float = SIMILAR, wo
         roots = connected_components(found)
         if nearest == NEAREST:  # distances of longer fingerprints begin anew
             more = more.withColumn("mark", F.lit(-1).cast("long"))
-        longs = cut(bodies_of(more.select("fp").distinct()).mapInArrow(longer, "fp long, long binary"), "longer")
+        longs = cut(bodies.join(more.select("fp").distinct(), "fp").select("fp", "body").mapInArrow(longer, "fp long, long binary"), "longer")
         rows = more.join(roots, more.fp == roots.node, "left").select(*_OPEN, F.coalesce("root", "fp").alias("root")).join(longs, "fp")
         nearest *= GROWTH
 

@@ -100,7 +100,7 @@ def test_nearest_pairs_end_with_all():
     s0, s1 = rng.integers(0, 4, 40, np.uint64), rng.integers(0, 4, 40, np.uint64)
     roots, marks, met, nearest = np.arange(40), np.full(40, -1), set(), 1
     while True:
-        pairs, marks, more = simhash.nearest_pairs(np.stack([s0, s1]), roots, marks, 3, nearest)
+        pairs, marks, more, _ = simhash.nearest_pairs(np.stack([s0, s1]), roots, marks, 3, nearest)
         met.update((min(p[:2]), max(p[:2])) for p in pairs)
         nearest *= 4
         if not more:
