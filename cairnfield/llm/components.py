@@ -24,17 +24,17 @@ def connected_components(links: DataFrame) -> DataFrame:
     Each round points every node to its smallest neighbour, follows the pointers to their roots and
     contracts the links to links between roots. Only nodes that are smaller than all their neighbours
     stay, so rounds grow with the logarithm of a component's size. Minima are combined before the
-    shuffle; joins on a node with many links meet one row of the other side, and adaptive execution
-    can split them.
+    shuffle, which makes repeated links cheap: they are not looked for. Joins on a node with many links
+    meet one row of the other side, and adaptive execution can split them.
     """
-    links = cut(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+    links = cut(links.where("a <> b").select("a", "b"), "links")
     roots = None
     while not links.isEmpty():
         both = links.union(links.select("b", "a"))
         parents = _jumped(cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("parent")), "parents"))
         p, q = parents.alias("p"), parents.alias("q")
         links = cut(
-            links.join(p, F.col("a") == F.col("p.node")).join(q, F.col("b") == F.col("q.node")).select(F.least("p.parent", "q.parent").alias("a"), F.greatest("p.parent", "q.parent").alias("b")).where("a <> b").distinct(),
+            links.join(p, F.col("a") == F.col("p.node")).join(q, F.col("b") == F.col("q.node")).select(F.col("p.parent").alias("a"), F.col("q.parent").alias("b")).where("a <> b"),
             "links",
         )
         if roots is None:
@@ -45,3 +45,17 @@ def connected_components(links: DataFrame) -> DataFrame:
     if roots is None:
         return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.select("node", F.col("parent").alias("root"))
+
+
+def extended_components(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """The components of the links that gave roots (None: none) and of further links; only links between components are followed."""
+    if roots is None:
+        return connected_components(links)
+    p, q = roots.alias("p"), roots.alias("q")
+    between = links.join(p, F.col("a") == F.col("p.node"), "left").join(q, F.col("b") == F.col("q.node"), "left").select(F.coalesce("p.root", "a").alias("a"), F.coalesce("q.root", "b").alias("b"))
+    joined = connected_components(between)
+    if joined.isEmpty():
+        return roots
+    j = joined.alias("j")
+    old = p.join(j, F.col("p.root") == F.col("j.node"), "left").select("p.node", F.coalesce("j.root", "p.root").alias("root"))
+    return cut(old.union(joined.join(roots.select("node"), "node", "left_anti").select("node", "root")), "roots")

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cairnfield.llm.common import ASCII_LOWER, as_bytes, cut
-from cairnfield.llm.components import connected_components
+from cairnfield.llm.components import connected_components, extended_components
 
 BITS = 64
 RADIUS = 3
@@ -451,18 +451,19 @@ def _similar(pairs: DataFrame, bodies: DataFrame, least: float, words: int) -> D
     return cut(pairs.join(second, "b").join(first, "a").select("a", "b", "body_a", "body_b").mapInArrow(compare, "a long, b long"), "similar")
 
 
-def similar_links(marked: DataFrame, plan: BlockPlan, least: float = SIMILAR, words: int = WORDS) -> DataFrame:
-    """(a, b): values of fp whose texts' shingle sets have a Jaccard similarity of `least` or more, and that connect the same groups as all such pairs that meet in a table.
+def similar_groups(marked: DataFrame, plan: BlockPlan, least: float = SIMILAR, words: int = WORDS) -> DataFrame:
+    """(node, root) of every value of fp that is in a group, which all links that meet in a table hold together: pairs of texts whose shingle sets have a Jaccard similarity of `least` or more.
 
     marked: row_id, fp, sketch and body.
     """
+
     def longer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sketches = [sketch(np.unique(shingle_hashes(text.as_py(), words)), LONG_LANES).tobytes() for text in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sketches, pa.binary())], names=["fp", "long"])
 
     nodes = cut(marked.where(F.length("sketch") > 0).groupBy("fp").agg(F.min(F.struct("row_id", "sketch")).alias("first")).select("fp", "first.row_id", "first.sketch"), "nodes")
-    rows, nearest, tested, found, roots, bodies = _deal(nodes, plan), NEAREST, None, None, None, None
+    rows, nearest, tested, roots, bodies = _deal(nodes, plan), NEAREST, None, None, None
     while True:
         met = _met(rows, plan, nearest)
         if bodies is None:  # the texts of all that are near another, written once: later rounds have no others
@@ -479,17 +480,16 @@ def similar_links(marked: DataFrame, plan: BlockPlan, least: float = SIMILAR, wo
                 chosen = ends.groupBy("node", F.pmod(F.xxhash64("other"), F.lit(parts))).agg(F.min(F.struct("distance", "a", "b")).alias("first")).select("first.a", "first.b").distinct()
             chosen = cut(chosen, "chosen")
             same = _similar(chosen, bodies, least, words)
-            found, tested = (x if old is None else old.union(x) for x, old in ((same, found), (chosen, tested)))
+            tested = chosen if tested is None else tested.union(chosen)
+            roots = extended_components(roots, same)
             if not parts:
                 break
-            roots = connected_components(found)
             pending = cut(_apart(pending.join(chosen, ["a", "b"], "left_anti"), roots), "candidates")
         more = met.where("kind = 1").select(*_OPEN)
-        if found is None:
-            found = pending.select("a", "b")  # none
+        if roots is None:
+            roots = connected_components(pending.select("a", "b"))  # none
         if more.isEmpty():
-            return found
-        roots = connected_components(found)
+            return roots
         if nearest == NEAREST:  # distances of longer fingerprints begin anew
             more = more.withColumn("mark", F.lit(-1).cast("long"))
         longs = cut(bodies.join(more.select("fp").distinct(), "fp").select("fp", "body").mapInArrow(longer, "fp long, long binary"), "longer")
@@ -529,7 +529,7 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     plan = plan or block_plan(docs.count())
     held = with_sketches(docs, plan, text_col)
     marked = held.select(F.col(id_col).alias("id"), *(F.col(f"__cf_{c}").alias(c) for c in ("row_id", "fp", "sketch")), as_bytes(F.col(text_col)).alias("body"))
-    roots = connected_components(similar_links(marked, plan))
+    roots = similar_groups(marked, plan)
     firsts = marked.where("id is not null").groupBy("fp").agg(F.min(F.struct("id", "row_id")).alias("first"))
     of = firsts.join(roots, firsts.fp == roots.node, "left").select("first", F.coalesce("root", "fp").alias("root"))
     keepers = cut(of.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row_id").alias("__cf_row_id")), "keepers")
