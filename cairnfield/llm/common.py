@@ -55,13 +55,51 @@ def _discard(jvm, path: str) -> None:
         place.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(place, True)
 
 
-def cut(df: DataFrame, label: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back: the lineage ends there, and a lost executor loses nothing. The files go when the driver ends."""
+#: Spark 4.1 and later then remove the shuffle files of a statement at its end; else they stay until the driver collects its garbage.
+_REMOVE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def cut(df: DataFrame, label: str, last_use: bool = False) -> DataFrame:
+    """Writes df as Parquet in the shared folder and reads it back: the lineage ends there, and a lost executor loses nothing. The files go when the driver ends, or by `discard`.
+
+    last_use: the shuffle files of this write go at its end.
+    """
     spark = df.sparkSession
     path = new_path(spark, label)
     atexit.register(_discard, spark._jvm, path)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_REMOVE_SHUFFLES, None)
+    if last_use:
+        spark.conf.set(_REMOVE_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if last_use and before is None:
+            spark.conf.unset(_REMOVE_SHUFFLES)
+        elif last_use:
+            spark.conf.set(_REMOVE_SHUFFLES, before)
+    held = spark.read.schema(df.schema).parquet(path)
+    held._cairnfield_path = path
+    return held
+
+
+def discard(*frames: DataFrame) -> None:
+    """Removes the files of frames that `cut` gave; nothing may read them any more."""
+    for df in frames:
+        _discard(df.sparkSession._jvm, df._cairnfield_path)
+
+
+def rows_with_bits(rows: DataFrame, chosen: DataFrame, id_col: str, or_where: Column | None = None) -> DataFrame:
+    """The rows whose row id (of monotonically_increasing_id, as written out) is among chosen, or that are as or_where says.
+
+    A bit for each row id goes to every worker, 4 KB for 32,768 ids that follow one another; the rows themselves are not shuffled.
+    """
+    width, columns = 1 << 15, rows.columns
+    chunk, place = F.shiftright(id_col, 15), F.col(id_col).bitwiseAND(width - 1)
+    bits = chosen.select(chunk.alias("__cf_chunk"), place.alias("__cf_place")).repartition("__cf_chunk").groupBy("__cf_chunk").agg(F.bitmap_construct_agg("__cf_place").alias("__cf_bits"))
+    byte = F.conv(F.hex(F.substring("__cf_bits", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+    held = F.coalesce(F.getbit(byte, (place % 8).cast("int")) == 1, F.lit(False))
+    joined = rows.join(F.broadcast(bits), chunk == F.col("__cf_chunk"), "inner" if or_where is None else "left")
+    return joined.where(held if or_where is None else held | or_where).select(*columns)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

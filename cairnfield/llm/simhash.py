@@ -27,8 +27,9 @@ returned; an empty table gives no rows.
 
 from __future__ import annotations
 
+import functools
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from itertools import repeat
 
@@ -39,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cairnfield.llm.common import ASCII_LOWER, as_bytes, cut
+from cairnfield.llm.common import ASCII_LOWER, as_bytes, cut, discard, rows_with_bits
 from cairnfield.llm.components import connected_components, extended_components
 
 BITS = 64
@@ -314,33 +315,37 @@ def sketch(shingles: np.ndarray, lanes: int) -> np.ndarray:
     return np.array([_majority(_remixed(shingles, k)) for k in range(lanes)], np.uint64)
 
 
-def _deal(nodes: DataFrame, plan: BlockPlan) -> DataFrame:
-    """Every fingerprint in every table; nodes: fp and sketch."""
+def _deal(nodes: DataFrame, plan: BlockPlan, block: int) -> DataFrame:
+    """Every fingerprint in every table of a block; nodes: fp and sketch."""
+    each = (1 << (plan.radius + 1)) - 1
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = plan.masks()
+        tables = list(enumerate(plan.masks()))[block * each : (block + 1) * each]
         for batch in batches:
             fps = batch.column(0)
             words = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64).reshape(-1, plan.lanes)
             first, second = (pa.array(np.ascontiguousarray(words[:, k]).view(np.int64)) for k in range(FILTER_LANES))
-            for number, (lane, mask) in enumerate(tables):
+            for number, (lane, mask) in tables:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), number)), pa.array((words[:, lane] & mask).view(np.int64)), fps, first, second], names=["tab", "masked", "fp", "s0", "s1"])
 
-    dealt = nodes.select("fp", "sketch").mapInArrow(deal, "tab long, masked long, fp long, s0 long, s1 long")
-    return dealt.select("*", F.col("fp").alias("root"), F.lit(-1).cast("long").alias("mark"), F.lit(0).cast("long").alias("mark_fp"))
+    return nodes.select("fp", "sketch").mapInArrow(deal, "tab long, masked long, fp long, s0 long, s1 long")
 
 
 _OPEN = ("tab", "masked", "fp", "s0", "s1", "mark", "mark_fp")
 
 
-def nearest_pairs(words: np.ndarray, roots: np.ndarray, marks: np.ndarray, farthest: int, nearest: int) -> tuple[list[tuple[int, int, int]], np.ndarray, bool, np.ndarray]:
-    """Of a bucket (fingerprints are columns of words): each member, its nearest members (with their distance) of other groups that lie beyond its mark; the new marks; whether any has more; and which members are near any other at all.
+def nearest_pairs(
+    words: np.ndarray, roots: np.ndarray, marks: np.ndarray, farthest: int, nearest: int, earlier: Sequence[tuple[int, np.uint64]] = (), again: bool = False
+) -> tuple[list[tuple[int, int, int]], np.ndarray, bool, np.ndarray]:
+    """Of a bucket (fingerprints are columns of words): each member, its nearest members (with their distance) of other groups that neither has met; the new marks; whether any has more; and which members have more or are more to another.
 
     A mark is distance * members + place of the last member that was met; a member that met all has the largest mark.
+    earlier: word and mask of the tables before this one. A pair that an earlier table holds is left to that one (again: it is
+    given here too, but not told as more).
     """
     n = words.shape[1]
     out: list[tuple[int, int, int]] = []
-    new, more, involved = np.full(n, 1 << 62, np.int64), False, np.zeros(n, bool)
+    new, involved = np.full(n, 1 << 62, np.int64), np.zeros(n, bool)
     for at in range(0, n, 512):
         part = slice(at, min(n, at + 512))
         distance = np.zeros((part.stop - at, n), np.int64)
@@ -348,32 +353,47 @@ def nearest_pairs(words: np.ndarray, roots: np.ndarray, marks: np.ndarray, farth
             distance += np.bitwise_count(word[part, None] ^ word)
         near = distance <= farthest
         near[np.arange(part.stop - at), np.arange(at, part.stop)] = False
-        involved[part] = near.any(1)
-        if not involved[part].any():
-            continue
         near &= roots[part, None] != roots
+        if not near.any():
+            continue
         keys = distance * n + np.arange(n)
         near &= keys > marks[part, None]
-        counts = near.sum(1)
-        for i in np.flatnonzero(counts):
-            others = np.flatnonzero(near[i])
+        near &= distance * n + np.arange(at, part.stop)[:, None] > marks
+        own = near
+        if len(earlier):
+            i, j = np.nonzero(near)
+            for word, mask in earlier:
+                apart = (words[word, at + i] ^ words[word, j]) & mask != 0
+                i, j = i[apart], j[apart]
+            own = np.zeros_like(near)
+            own[i, j] = True
+        given = near if again else own
+        for i in np.flatnonzero(given.any(1)):
+            others = np.flatnonzero(given[i])
             if len(others) > nearest:
                 others = others[np.argpartition(keys[i, others], nearest - 1)[:nearest]]
-                new[at + i], more = keys[i, others].max(), True
+                new[at + i] = keys[i, others].max()
             out.extend((at + int(i), j, int(distance[i, j])) for j in others.tolist())
-    return out, new, more, involved
+            own[i, others] = False
+        involved[part] |= own.any(1)
+        involved |= own.any(0)
+    return out, new, bool(involved.any()), involved
 
 
 def _met(rows: DataFrame, plan: BlockPlan, nearest: int) -> DataFrame:
-    """kind 0: a candidate (fp, other) and its distance as the mark; kind 1: a member, near another, of a bucket that has more, with its mark.
+    """kind 0: a candidate (fp, other) and its distance as the mark; kind 1: a member of a bucket that has more, or is more to another, with its mark.
 
-    rows: with `long`, the fingerprint of LONG_LANES words, where there is that column.
+    rows: of the first round as dealt; later with marks, roots and `long`, the fingerprint of LONG_LANES words. In later rounds a pair is
+    looked for only in the first of the tables that hold it, so a pair is not given once a table.
     """
     names = ("kind", "other", *_OPEN)
-    columns_of = [*_OPEN, "root", *(["long"] if "long" in rows.columns else [])]
-    farthest = plan.farthest(LONG_LANES if "long" in rows.columns else FILTER_LANES)
+    later = "long" in rows.columns
+    columns_of = [*_OPEN, "root", "long"] if later else [*_OPEN[:5]]
+    lanes = max(LONG_LANES, plan.lanes) if later else FILTER_LANES
+    farthest = plan.farthest(lanes)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = plan.masks()
         held: list[list[np.ndarray]] = []
         pairs: list[np.ndarray] = []
         opened: list[np.ndarray] = []
@@ -381,15 +401,20 @@ def _met(rows: DataFrame, plan: BlockPlan, nearest: int) -> DataFrame:
         def close() -> None:
             if not held:
                 return
-            tabs, masked, fps, s0, s1, marks, mark_fps, roots, *long = (np.concatenate(x) for x in zip(*held, strict=True))
+            tabs, masked, fps, s0, s1, *rest = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
             n = len(fps)
             if n < 2:
                 return
-            # a mark in the table is a distance and a fingerprint; members are in the order of fingerprints
-            own = np.where(marks < 0, -1, marks * n + np.searchsorted(fps, mark_fps))
-            words = np.frombuffer(b"".join(long[0].tolist()), np.uint64).reshape(n, LONG_LANES).T if long else np.stack([s0, s1]).view(np.uint64)
-            found, new, more, involved = nearest_pairs(words, roots, own, farthest, nearest)
+            if later:
+                marks, mark_fps, roots, long = rest
+                # a mark in the table is a distance and a fingerprint, which may have gone; members are in the order of fingerprints
+                own = np.where(marks < 0, -1, marks * n + np.searchsorted(fps, mark_fps, "right") - 1)
+                words = np.frombuffer(b"".join(long.tolist()), np.uint64).reshape(n, lanes).T
+            else:
+                own, roots, words = np.full(n, -1, np.int64), fps, np.stack([s0, s1]).view(np.uint64)
+            earlier = [(lane, mask) for lane, mask in tables[: int(tabs[0])] if lane < lanes]
+            found, new, more, involved = nearest_pairs(words, roots, own, farthest, nearest, earlier, again=not later)
             if found:
                 at = np.array(found)
                 x = fps[at[:, :2]]
@@ -429,7 +454,7 @@ def _met(rows: DataFrame, plan: BlockPlan, nearest: int) -> DataFrame:
         yield flush()
 
     ordered = rows.select(*columns_of).repartition("tab", "masked").sortWithinPartitions("tab", "masked", "fp")
-    return cut(ordered.mapInArrow(search, ", ".join(f"{n} long" for n in names)), "met")
+    return cut(ordered.mapInArrow(search, ", ".join(f"{n} long" for n in names)), "met", last_use=True)
 
 
 def _similar(pairs: DataFrame, bodies: DataFrame, least: float, words: int) -> DataFrame:
@@ -448,7 +473,7 @@ def _similar(pairs: DataFrame, bodies: DataFrame, least: float, words: int) -> D
             yield pa.RecordBatch.from_arrays(batch.filter(pa.array(same, pa.bool_())).columns[:2], names=["a", "b"])
 
     first, second = (bodies.select(F.col("fp").alias(k), F.col("body").alias(f"body_{k}")) for k in "ab")
-    return cut(pairs.join(second, "b").join(first, "a").select("a", "b", "body_a", "body_b").mapInArrow(compare, "a long, b long"), "similar")
+    return cut(pairs.join(second, "b").join(first, "a").select("a", "b", "body_a", "body_b").mapInArrow(compare, "a long, b long"), "similar", last_use=True)
 
 
 def similar_groups(marked: DataFrame, plan: BlockPlan, least: float = SIMILAR, words: int = WORDS) -> DataFrame:
@@ -457,18 +482,22 @@ def similar_groups(marked: DataFrame, plan: BlockPlan, least: float = SIMILAR, w
     marked: row_id, fp, sketch and body.
     """
 
+    lanes = max(LONG_LANES, plan.lanes)
+
     def longer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sketches = [sketch(np.unique(shingle_hashes(text.as_py(), words)), LONG_LANES).tobytes() for text in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sketches, pa.binary())], names=["fp", "long"])
-
-    nodes = cut(marked.where(F.length("sketch") > 0).groupBy("fp").agg(F.min(F.struct("row_id", "sketch")).alias("first")).select("fp", "first.row_id", "first.sketch"), "nodes")
-    rows, nearest, tested, roots, bodies = _deal(nodes, plan), NEAREST, None, None, None
+            sketches = [sketch(np.unique(shingle_hashes(text.as_py(), words)), lanes).tobytes() for text in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sketches, pa.binary())], names=["fp", "body", "long"])
+
+    nodes = cut(marked.where(F.length("sketch") > 0).groupBy("fp").agg(F.min(F.struct("row_id", "sketch")).alias("first")).select("fp", "first.row_id", "first.sketch"), "nodes", last_use=True)
+    # a block at a time: the shuffle of one block's tables is gone before the next one's
+    spent = [nodes, *(_met(_deal(nodes, plan, block), plan, NEAREST) for block in range(plan.blocks))]
+    met = functools.reduce(DataFrame.union, spent[1:])
+    # the texts of all that are near another, written once: later rounds have no others
+    ends = met.select("fp").union(met.where("kind = 0").select("other")).distinct()
+    bodies = cut(rows_with_bits(marked.select("row_id", "fp", "body"), nodes.join(ends, "fp").select("row_id"), "row_id").select("fp", "body"), "bodies", last_use=True)
+    nearest, tested, roots = NEAREST, None, None
     while True:
-        met = _met(rows, plan, nearest)
-        if bodies is None:  # the texts of all that are near another, written once: later rounds have no others
-            ends = met.select("fp").union(met.where("kind = 0").select("other")).distinct()
-            bodies = cut(marked.select("row_id", "body").join(nodes.join(ends, "fp").select("row_id", "fp"), "row_id").select("fp", "body"), "bodies")
         pending = met.where("kind = 0").groupBy(F.col("fp").alias("a"), F.col("other").alias("b")).agg(F.min("mark").alias("distance"))
         pending = cut(pending if tested is None else pending.join(tested, ["a", "b"], "left_anti"), "candidates")
         for parts in (*PARTS, None):
@@ -489,12 +518,16 @@ def similar_groups(marked: DataFrame, plan: BlockPlan, least: float = SIMILAR, w
         if roots is None:
             roots = connected_components(pending.select("a", "b"))  # none
         if more.isEmpty():
+            discard(bodies, *spent)
             return roots
-        if nearest == NEAREST:  # distances of longer fingerprints begin anew
+        if nearest == NEAREST:  # distances of longer fingerprints begin anew; texts that are not open are not met again
             more = more.withColumn("mark", F.lit(-1).cast("long"))
-        longs = cut(bodies.join(more.select("fp").distinct(), "fp").select("fp", "body").mapInArrow(longer, "fp long, long binary"), "longer")
-        rows = more.join(roots, more.fp == roots.node, "left").select(*_OPEN, F.coalesce("root", "fp").alias("root")).join(longs, "fp")
+            near, bodies = bodies, cut(bodies.join(more.select("fp").distinct(), "fp").select("fp", "body").mapInArrow(longer, "fp long, body binary, long binary"), "open", last_use=True)
+            discard(near)
+        rows = more.join(roots, more.fp == roots.node, "left").select(*_OPEN, F.coalesce("root", "fp").alias("root")).join(bodies.select("fp", "long"), "fp")
         nearest *= GROWTH
+        met = _met(rows, plan, nearest)
+        spent.append(met)
 
 
 def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -532,5 +565,5 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     roots = similar_groups(marked, plan)
     firsts = marked.where("id is not null").groupBy("fp").agg(F.min(F.struct("id", "row_id")).alias("first"))
     of = firsts.join(roots, firsts.fp == roots.node, "left").select("first", F.coalesce("root", "fp").alias("root"))
-    keepers = cut(of.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row_id").alias("__cf_row_id")), "keepers")
-    return held.where(F.col(id_col).isNotNull()).join(keepers, "__cf_row_id", "left_semi").union(held.where(F.col(id_col).isNull()).select("__cf_row_id", *(c for c in held.columns if c != "__cf_row_id"))).select(*docs.columns)
+    keepers = cut(of.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row_id").alias("__cf_row_id")), "keepers", last_use=True)
+    return rows_with_bits(held, keepers, "__cf_row_id", or_where=F.col(id_col).isNull()).select(*docs.columns)
