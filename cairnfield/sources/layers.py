@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +17,13 @@ from cairnfield.operators import spatial
 
 _LOCAL: dict[str, str] = {}
 
+#: Rows of a task in memory, about, so that a sort needs no disk however large the table and few spark.sql.shuffle.partitions are.
+TASK_BYTES = 64 << 20
+#: Of Parquet that a task reads before it deals rows out; rows in memory take some fourteen times as much.
+SPLIT_BYTES = 8 << 20
+#: Of a point in gparts, about.
+POINT_BYTES = 48
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a machine's own one only where that machine is all there is."""
@@ -37,26 +47,44 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tasks_for(df: DataFrame, rows: int, points: int = 0) -> int:
+    """Partitions for so many rows of df, which hold so many points."""
+    size = rows * (df._jdf.schema().defaultSize() + 8 * len(df.columns)) + points * POINT_BYTES
+    return max(1, -(-size // TASK_BYTES), min(df.sparkSession.sparkContext.defaultParallelism, -(-size // (TASK_BYTES // 16))))
+
+
+@contextlib.contextmanager
+def small_splits(spark: SparkSession) -> Iterator[None]:
+    """Scans that start here read SPLIT_BYTES a task at most, as writers of a shuffle hold what a task has read."""
+    key = "spark.sql.files.maxPartitionBytes"
+    before, now = spark.conf.get(key, None), spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    spark.conf.set(key, str(min(now, SPLIT_BYTES)))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def dealt(df: DataFrame, partitions: int, *keys: str) -> DataFrame:
+    """df by ranges of keys, shuffled here and once: all that is read from the result sees the same ranges, which Spark would else draw anew."""
+    spark = df.sparkSession
+    ranged = df.repartitionByRange(partitions, *keys)
+    with small_splits(spark):
+        rows = ranged._jdf.queryExecution().toRdd()
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, ranged._jdf.schema(), False), spark)
+
+
 def with_fids(df: DataFrame, *keys: str) -> DataFrame:
-    """Adds zero-based `fid` in the order of keys.
+    """Adds zero-based `fid` in the order of keys, which are unique.
 
-    Rows are range-partitioned and numbered inside each partition; a table of one row per partition
-    gives the number that a partition starts from. No window over all rows.
+    Rows are range-partitioned and counted, one number a partition, then sorted and numbered inside each
+    partition from where the ones before it end. No window over all rows, and no copy of them but the shuffle's.
     """
-    numbered = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id())
-    held = stored(numbered, "numbered")
-    part = F.shiftrightunsigned("_at", 33)
-    sizes = held.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_rows"))
-    starts = sizes.select("_part", "_rows").collect()  # one row a partition
-    total, rows = 0, []
-    for r in sorted(starts):
-        rows.append((r["_part"], total))
-        total += r["_rows"]
-    if not rows:
-        return held.withColumn("fid", F.col("_at")).drop("_at")
-    begins = df.sparkSession.createDataFrame(rows, "_part long, _start long")
-    joined = held.withColumn("_part", part).join(F.broadcast(begins), "_part")
-    return joined.withColumn("fid", F.col("_start") + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_at", "_part", "_start")
+    ranges, part = dealt(df, tasks_for(df, df.count()), *keys), F.spark_partition_id()
+    sizes = dict(ranges.groupBy(part.alias("_part")).agg(F.count(F.lit(1))).collect())  # one row a partition
+    starts = accumulate((sizes.get(k, 0) for k in range(max(sizes, default=0))), initial=0)
+    place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    return ranges.sortWithinPartitions(*keys).withColumn("fid", F.array(*(F.lit(n).cast("long") for n in starts))[part] + place)
 
 
 def spread_bits(value: Column) -> Column:
@@ -79,16 +107,37 @@ def cell_order(gbox: Column, extent: spatial.Box) -> Column:
     return spread_bits(x).bitwiseOR(F.shiftleft(spread_bits(y), 1))
 
 
+def _sides(xmin: Column, ymin: Column, xmax: Column, ymax: Column) -> list[Column]:
+    return [F.min(xmin).alias("a"), F.min(ymin).alias("b"), F.max(xmax).alias("c"), F.max(ymax).alias("d")]
+
+
 def extent_of(df: DataFrame) -> spatial.Box | None:
     """The layer's extent, None without geometry."""
-    row = df.agg(F.min("gbox.xmin").alias("a"), F.min("gbox.ymin").alias("b"), F.max("gbox.xmax").alias("c"), F.max("gbox.ymax").alias("d")).first()
-    return None if row is None or row["a"] is None else spatial.Box(row["a"], row["b"], row["c"], row["d"])
+    return _surveyed(df)[0]
+
+
+def _surveyed(df: DataFrame, *more: Column) -> tuple[spatial.Box | None, list[int]]:
+    row = df.agg(*_sides(*(F.col(f"gbox.{c}") for c in ("xmin", "ymin", "xmax", "ymax"))), *more).first()
+    return None if row["a"] is None else spatial.Box(*row[:4]), [n or 0 for n in row[4:]]
+
+
+def extent_of_points(df: DataFrame, x: Column, y: Column) -> tuple[spatial.Box | None, int]:
+    """The extent of whatever geometries are made of these points, and how many there are."""
+    row = df.agg(*_sides(x, y, x, y), F.count(F.lit(1)).alias("n")).first()
+    return None if row["a"] is None else spatial.Box(*row[:4]), row["n"]
 
 
 def spatially_stored(df: DataFrame, label: str) -> DataFrame:
     """df with `gbox`, stored in the order of cells."""
-    extent = extent_of(df)
-    if extent is None:
-        return stored(df, label)
-    ordered = df.withColumn("_cell", F.coalesce(cell_order(F.col("gbox"), extent), F.lit(-1)))
-    return stored(ordered.repartitionByRange("_cell").sortWithinPartitions("_cell").drop("_cell"), label)
+    points = F.sum(F.aggregate("gparts", F.lit(0), lambda n, part: n + F.size(part))) if "gparts" in df.columns else F.lit(0)
+    extent, (rows, held) = _surveyed(df, F.count(F.lit(1)), points)
+    return stored_by_cell(df, label, extent, tasks_for(df, rows, held))
+
+
+def stored_by_cell(df: DataFrame, label: str, extent: spatial.Box | None, partitions: int) -> DataFrame:
+    """The same where extent and partitions are known, so df is not computed for them."""
+    with small_splits(df.sparkSession):
+        if extent is None:
+            return stored(df, label)
+        ordered = df.withColumn("_cell", F.coalesce(cell_order(F.col("gbox"), extent), F.lit(-1)))
+        return stored(ordered.repartitionByRange(partitions, "_cell").sortWithinPartitions("_cell").drop("_cell"), label)
