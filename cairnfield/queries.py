@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from cairnfield.functions import dates, text
 from cairnfield.operators import geometry, relations, spatial
 from cairnfield.plans.query import Query, build, metrics
-from cairnfield.sources.layers import extent_of, spatially_stored, stored, with_fids
+from cairnfield.sources.layers import extent_of, extent_of_points, spatially_stored, stored, stored_by_cell, tasks_for, with_fids
 
 _LAYERS: dict[tuple[str, str, str], DataFrame] = {}
 
@@ -63,10 +63,14 @@ def order_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each order's line items (quantity, 100 x discount) as a multipoint or a line, by line number and price."""
 
     def make() -> DataFrame:
-        place = F.struct("l_linenumber", "l_extendedprice", "l_partkey", _xy(F.col("l_quantity"), F.col("l_discount") * 100).alias("p"))
-        grouped = _table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sort_array(F.collect_list(place)).alias("s"))
+        x, y = F.col("l_quantity"), F.col("l_discount") * 100
+        items = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_extendedprice", "l_partkey", "l_quantity", "l_discount")
+        extent, rows = extent_of_points(items, x, y)
+        partitions = tasks_for(items, rows)
+        # dealt out as rows and then collected: arrays begun before the shuffle would hold a task's whole input
+        grouped = items.repartition(partitions, "o_orderkey").groupBy("o_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_extendedprice", "l_partkey", _xy(x, y).alias("p")))).alias("s"))
         parts = grouped.select("o_orderkey", F.array(F.transform("s", lambda s: s["p"])).alias("gparts"))
-        return spatially_stored(parts.withColumn("gbox", spatial.envelope(F.col("gparts"))), "order-shapes")
+        return stored_by_cell(parts.withColumn("gbox", spatial.envelope(F.col("gparts"))), "order-shapes", extent, partitions)
 
     return _cached(spark, sf_dir, "order_shapes", make)
 
